@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfold.llm import mixing, simhash
+from ringfold.llm import idfiles, mixing, packing, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum in the files of coded token ids, as read back from them."""
+    path = idfiles.shared_path(spark, "ids")
+    idfiles.write_ids(_documents(spark, sf_dir), path)
+    ids = idfiles.read_ids(spark, path)
+    return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of at most 4096 tokens."""
+    return packing.pack(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_id_files": op6_id_files,
+    "op8_pack": op8_pack,
     "op9_mix_sources": op9_mix_sources,
     "op10_simhash": op10_simhash,
 }
