@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfold.llm import idfiles, mixing, packing, simhash
+from ringfold.llm import idfiles, mixing, packing, repeats, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of twenty words or more that start earlier."""
+    found = repeats.remove_repeats(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum in the files of coded token ids, as read back from them."""
     path = idfiles.shared_path(spark, "ids")
@@ -40,6 +46,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_repeats": op5_repeats,
     "op6_id_files": op6_id_files,
     "op8_pack": op8_pack,
     "op9_mix_sources": op9_mix_sources,
