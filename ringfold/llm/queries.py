@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfold.llm import idfiles, mixing, packing, repeats, simhash
+from ringfold.llm import idfiles, mixing, packing, quality, repeats, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether the base rules and its language's perplexity band keep it."""
+    judged = quality.judge(_documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "lower", "upper")
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of twenty words or more that start earlier."""
     found = repeats.remove_repeats(_documents(spark, sf_dir))
@@ -46,6 +52,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_perplexity": op2_perplexity,
     "op5_repeats": op5_repeats,
     "op6_id_files": op6_id_files,
     "op8_pack": op8_pack,
