@@ -11,9 +11,9 @@ table (part, number, n_docs, n_ids, shard), because only Spark's writers reach e
 folder and commit whole files when executors are lost; the ranks are a table beside it.
 Shards hold documents in ascending doc_id, and (part, number) orders shards.
 
-Frequencies take one pass over the texts and the codes another; a worker's encoder keeps
-the pieces it has learnt, so the second pass seldom merges anything anew. The table of ranks
-is bounded by the vocabulary, not by the corpus.
+Texts are encoded once. Their ids rest in the shared folder, packed, while frequencies are
+counted; then they are ranked and dealt to parts by ranges of doc_id. The table of ranks is
+bounded by the vocabulary, not by the corpus.
 
 Rows: null and empty texts have just the end id. Equal doc_ids are ordered by a hash of
 their texts; rows alike in both stand side by side. Rows without a doc_id come last. An
@@ -28,15 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ringfold.llm.shared import with_checkpoints
-from ringfold.llm.text import buffers, bytes_of, partitions, slices
+from ringfold.llm.shared import settled, with_checkpoints
+from ringfold.llm.text import buffers, bytes_of, partitions, ranges, slices
 from ringfold.llm.tokens import encoder
 
 MAGIC = b"RFV1"
-SHARD_BYTES = 8 << 20
+#: Ids of a shard, about.
+SHARD_IDS = 4 << 20
+#: Shards whose places are broadcast, 24 bytes each; beyond it they are joined by a shuffle.
+INDEX_ROWS = 1_000_000
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 _NO_ID = np.iinfo(np.int64).max
 
@@ -83,21 +87,47 @@ def read_shard(shard: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, lengths, decode_ranks(control, np.frombuffer(shard, np.uint8, -1, 20 + 16 * docs + len(control)), n)
 
 
-def frequency_ranks(docs: DataFrame, vocabulary: str, end_id: int) -> list[int]:
-    """Token ids by falling frequency over all texts, ties to the smaller id; ids that never occur are left out."""
+def _packed(ids: np.ndarray, ties: np.ndarray, counts: np.ndarray, values: np.ndarray) -> bytes:
+    """Documents' ids, ties and counts, and all their values, compressed; two bytes for each value where that is enough."""
+    width = 2 if not len(values) or values.max() < 1 << 16 else 4
+    meta = ids.astype("<i8").tobytes() + ties.astype("<i8").tobytes() + counts.astype("<i8").tobytes()
+    return struct.pack("<IB", len(ids), width) + zstandard.ZstdCompressor(level=1).compress(meta + values.astype(f"<u{width}").tobytes())
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, width = struct.unpack_from("<IB", blob)
+    raw = zstandard.ZstdDecompressor().decompress(blob[5:])
+    ids, ties, counts = (np.frombuffer(raw, "<i8", n, 8 * n * k) for k in range(3))
+    return ids, ties, counts, np.frombuffer(raw, f"<u{width}", -1, 24 * n).astype(np.uint32)
+
+
+def token_blobs(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """(blob): the ids of all documents, each with the end id, packed by slices of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(end_id + 1, np.int64)
-        for batch in slices(batches, most=16 << 20):
-            ids, _ = encoder(vocabulary).encode(*buffers(batch.column(0)))
-            seen = np.bincount(ids, minlength=len(total)).astype(np.int64)
-            seen[: len(total)] += total
-            total = seen
-            total[end_id] += batch.num_rows
+        for batch in slices(batches):
+            ids, counts = encoder(vocabulary).encode(*buffers(batch.column(2)))
+            whole = np.insert(ids, np.cumsum(counts), end_id)
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(batch.column(0).to_numpy(), batch.column(1).to_numpy(), counts + 1, whole)], pa.binary())], ["blob"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NO_ID))).alias("ord"), F.xxhash64("text").alias("tie"), bytes_of("text").alias("body"))
+    return rows.mapInArrow(run, "blob binary")
+
+
+def frequency_ranks(blobs: DataFrame) -> list[int]:
+    """Token ids by falling frequency over all documents, ties to the smaller id; ids that never occur are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                seen = np.bincount(_unpacked(blob)[3], minlength=len(total)).astype(np.int64)
+                seen[: len(total)] += total
+                total = seen
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
-    counts = docs.select(bytes_of("text").alias("body")).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = blobs.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return [r.id for r in counts.orderBy(F.desc("n"), "id").collect()]
 
 
@@ -110,57 +140,48 @@ def _bounds(docs: DataFrame, parts: int) -> list[int]:
 def write_ids(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2) -> None:
     """Writes path/ranks and path/shards."""
     spark = docs.sparkSession
-    by_rank = frequency_ranks(docs, vocabulary, end_id)
+    blobs = settled(token_blobs(docs, vocabulary, end_id))
+    by_rank = frequency_ranks(blobs)
     spark.createDataFrame(pa.table({"rank": pa.array(range(len(by_rank)), pa.int32()), "id": pa.array(by_rank, pa.int32())})).coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    bounds = np.array(_bounds(docs, 2 * partitions(docs)), np.int64)
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids, counts = encoder(vocabulary).encode(*buffers(batch.column(3)))
-            ranks, at, blobs = rank_of[ids], 0, []
-            end = rank_of[end_id : end_id + 1]
-            for n in counts.tolist():
-                control, codes = encode_ranks(np.concatenate([ranks[at : at + n], end]))
-                blobs.append(control + codes)
-                at += n
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts + 1), pa.array(blobs, pa.binary())], ["part", "doc_id", "tie", "n", "codes"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                ids, ties, counts, values = _unpacked(blob)
+                ranks, first = rank_of[values], np.cumsum(counts) - counts
+                part = np.where(ids == _NO_ID, len(bounds) + 1, np.searchsorted(bounds, ids))
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+                out = []
+                for at in np.split(order, cuts[1:]):
+                    out.append(_packed(ids[at], ties[at], counts[at], ranks[ranges(first[at], counts[at])]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][cuts].astype(np.int32)), pa.array(out, pa.binary())], ["part", "blob"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, size = None, 0, 0
-        ids: list[int] = []
-        lengths: list[int] = []
-        values: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            blob = write_shard(np.array(ids, np.int64), np.array(lengths, np.int64), np.concatenate(values))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([blob], pa.binary())], ["part", "number", "n_docs", "n_ids", "shard"])
-
+        def finish(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            ids, ties, counts, ranks = (np.concatenate(x) for x in zip(*map(_unpacked, held), strict=True))
+            order = np.lexsort((ties, ids))
+            first, size = np.cumsum(counts) - counts, np.cumsum(counts[order])
+            for number, at in enumerate(np.split(order, np.flatnonzero(np.diff(size // SHARD_IDS)) + 1)):
+                blob = write_shard(ids[at], counts[at], ranks[ranges(first[at], counts[at])])
+                cells = [(part, pa.int32()), (number, pa.int32()), (len(at), pa.int64()), (int(counts[at].sum()), pa.int64()), (blob, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in cells], ["part", "number", "n_docs", "n_ids", "shard"])
+
+        now, held = None, []
         for batch in batches:
-            for p, d, n, codes in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), batch.column(4), strict=True):
-                raw = np.frombuffer(codes.as_buffer(), np.uint8)
-                if ids and (p != part or size >= SHARD_BYTES):
-                    yield flush()
-                    number = number + 1 if p == part else 0
-                    size = 0
-                    ids.clear(), lengths.clear(), values.clear()
-                part = p
-                ids.append(_NO_ID if d is None else d)
-                lengths.append(n)
-                values.append(decode_ranks(raw[: -(-n // 4)], raw[-(-n // 4) :], n))
-                size += len(raw)
-        if ids:
-            yield flush()
-
-    bounds = _bounds(docs, 2 * partitions(docs))
-    limits = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(limits, lambda b: b < F.col("doc_id").cast("long"))), F.lit(0)).cast("int")
-    rows = docs.select(
-        F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(part).alias("part"),
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), bytes_of("text").alias("body"),
-    )
-    coded = rows.mapInArrow(code, "part int, doc_id long, tie long, n long, codes binary")
-    dealt = coded.repartition("part").sortWithinPartitions("part", "doc_id", "tie")
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and part != now:
+                    yield from finish(now, held)
+                    held = []
+                now = part
+                held.append(blob)
+        if held:
+            yield from finish(now, held)
+
+    dealt = blobs.mapInArrow(deal, "part int, blob binary").repartition("part").sortWithinPartitions("part")
     dealt.mapInArrow(shards, "part int, number int, n_docs long, n_ids long, shard binary").write.parquet(f"{path}/shards")
 
 
@@ -171,6 +192,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     index = files.select("part", "number", "n_ids")
     parts = index.groupBy("part").agg(F.sum("n_ids").alias("total")).withColumn("base", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    small = index.count() <= INDEX_ROWS
     begins = index.withColumn("inside", inside).join(parts.select("part", "base"), "part").select("part", "number", (F.col("base") + F.col("inside")).alias("begin"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +205,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     blobs = [values[a : a + n].tobytes() for a, n in zip(before[s].tolist(), lengths[s].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[s], mask=ids[s] == _NO_ID), pa.array(before[s] + begin), pa.array(lengths[s]), pa.array(blobs, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return files.join(begins, ["part", "number"]).select("begin", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.join(F.broadcast(begins) if small else begins, ["part", "number"]).select("begin", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

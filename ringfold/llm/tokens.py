@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 from ringfold.llm.text import ranges, word_hashes
 
-#: Pieces whose ids a worker keeps; when more come, it starts anew.
+#: Pieces whose ids a worker keeps, about 80 bytes each; when more come, it starts anew.
 KEPT_PIECES = 1_500_000
+#: Parts of pieces whose merged ids are kept meanwhile, about 300 bytes each.
+KEPT_PARTS = 200_000
 
 # Letters that are surely letters to any version of Unicode, and the splitting rules over them.
 _LETTER, _DIGIT = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
@@ -91,20 +94,28 @@ class Encoder:
             known = self.merged.get(part)
             if known is None:
                 spelled = part.encode().decode("latin-1").translate(self.letters)
-                known = self.merged[part] = [t.id for t in self.model.tokenize(spelled)]
+                known = [t.id for t in self.model.tokenize(spelled)]
+                if len(self.merged) >= KEPT_PARTS:
+                    self.merged.clear()
+                self.merged[part] = known
             ids += known
         return ids
 
-    def _add(self, ids: list[int]) -> int:
-        k = self.n
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        if k >= len(self.starts):
+    def _add(self, found: list[list[int]]) -> np.ndarray:
+        """Keeps the ids of new pieces; their places."""
+        counts = np.fromiter(map(len, found), np.int32, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
+        n, used = self.n + len(found), self.used + len(ids)
+        while used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n > len(self.starts):
             self.starts, self.counts = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.counts, self.counts * 0])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[k], self.counts[k] = self.used, len(ids)
-        self.n, self.used = k + 1, self.used + len(ids)
-        return k
+        self.flat[self.used : used] = ids
+        self.counts[self.n : n] = counts
+        self.starts[self.n : n] = self.used + np.cumsum(counts, dtype=np.int64) - counts
+        places = np.arange(self.n, n, dtype=np.int32)
+        self.n, self.used = n, used
+        return places
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each piece, -1 if unknown. Each hash has two slots."""
@@ -127,9 +138,8 @@ class Encoder:
             if self.n + len(fresh) > self.kept and self.n:
                 self._reset()
                 return self.encode(buf, off)
-            raw, places = buf.tobytes(), np.empty(len(fresh), np.int32)
-            for k, i in enumerate(new[first].tolist()):
-                places[k] = self._add(self._ids(raw[start[i] : end[i]].decode("utf-8", "replace")))
+            raw, at_new = buf.tobytes(), new[first]
+            places = self._add([self._ids(raw[a:b].decode("utf-8", "replace")) for a, b in zip(start[at_new].tolist(), end[at_new].tolist(), strict=True)])
             at[new] = places[back]
             one, two = self._slots(fresh)
             slot = np.where((self.place[one] < 0) | (self.place[two] >= 0), one, two)
