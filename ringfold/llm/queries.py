@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfold.llm import idfiles, mixing, packing, quality, repeats, simhash
+from ringfold.llm import idfiles, mixing, packing, pii, quality, repeats, simhash, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms, and the kinds and places of what they stand for."""
+    made = pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), found="found")
+    return made.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.to_json("found").alias("found"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    vectors = topk.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(vectors, F.col("id") % 100 == 0)
+
+
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and whether the base rules and its language's perplexity band keep it."""
     judged = quality.judge(_documents(spark, sf_dir))
@@ -52,6 +64,8 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudonyms": op1_pseudonyms,
+    "op3_topk": op3_topk,
     "op2_perplexity": op2_perplexity,
     "op5_repeats": op5_repeats,
     "op6_id_files": op6_id_files,
@@ -60,4 +74,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_topk": """
+        WITH whole AS (
+            SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+}
