@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfold.llm import idfiles, mixing, packing, pii, quality, repeats, simhash, topk
+from ringfold.llm import idfiles, licenses, mixing, packing, pii, quality, repeats, simhash, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each document is as a whole, and the notices among its lines."""
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of at most 4096 tokens."""
     return packing.pack(_documents(spark, sf_dir))
@@ -69,12 +74,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_perplexity": op2_perplexity,
     "op5_repeats": op5_repeats,
     "op6_id_files": op6_id_files,
+    "op7_licenses": op7_licenses,
     "op8_pack": op8_pack,
     "op9_mix_sources": op9_mix_sources,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_licenses": licenses.oracle(),
     "op3_topk": """
         WITH whole AS (
             SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
