@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfold.llm import idfiles, licenses, mixing, packing, pii, quality, repeats, simhash, topk
+from ringfold.llm import idfiles, langid, licenses, mixing, packing, pii, quality, repeats, simhash, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "lower", "upper")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those whose crc32 of the id, modulo 4, is not 2."""
+    docs = _documents(spark, sf_dir)
+    found = langid.identify(docs, langid.train(docs, langid.learnable()))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of twenty words or more that start earlier."""
     found = repeats.remove_repeats(_documents(spark, sf_dir))
@@ -72,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op3_topk": op3_topk,
     "op2_perplexity": op2_perplexity,
+    "op4_language": op4_language,
     "op5_repeats": op5_repeats,
     "op6_id_files": op6_id_files,
     "op7_licenses": op7_licenses,
