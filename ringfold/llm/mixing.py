@@ -55,9 +55,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
     return leveled.select("source", "source_size", target.alias("target"))
 
 
-def taken_words(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+def taken_words(sized: DataFrame, targets: DataFrame, seed: int = 17, parts: bool = False) -> DataFrame:
     """Adds source_size, target and taken. ``sized``: (doc_id, source, size, tie), any further columns stay.
 
+    With ``parts``, __whole (whole repetitions) and __extra (words beyond them) stay too.
+
     The fractional rest is cut off at an exact place without sorting a source in one task:
     words are summed over slices of the hash's range, the sums of the slices give the slice
     where the rest ends, and only that slice's documents are ranked.
@@ -81,7 +83,23 @@ def taken_words(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFra
     )
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__l"))).drop("__s", "__l")
     edge = ~F.col("__inside") & (F.col("__left") > 0)
-    within = Window.partitionBy("source", "__slice", edge, F.when(~edge, F.col("__spot"))).orderBy("__spot", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    sorted_out = joined.withColumn("__seen", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    extra = F.when(F.col("__inside"), F.col("size")).when(~edge, 0).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), F.col("__left") - F.col("__seen"))))
-    return sorted_out.withColumn("taken", (F.col("__whole") * F.col("size") + extra).cast("long")).drop("__spot", "__slice", "__whole", "__left", "__inside", "__seen")
+    within = Window.partitionBy("source", "__slice").orderBy("__spot", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__left") - F.coalesce(F.sum("size").over(within), F.lit(0))))
+    # only the slices where the rest ends are ranked; all other rows go on as they are
+    plain = joined.where(~edge).withColumn("__extra", F.when(F.col("__inside"), F.col("size")).otherwise(0))
+    done = plain.unionByName(joined.where(edge).withColumn("__extra", last))
+    return done.withColumn("taken", (F.col("__whole") * F.col("size") + F.col("__extra")).cast("long")).drop("__spot", "__slice", "__left", "__inside", *([] if parts else ["__whole", "__extra"]))
+
+
+def mixed(docs: DataFrame, seed: int = 17, **goal) -> DataFrame:
+    """The mixture itself, with the columns of docs: every document as often as it is taken; one taken in part has its first words, joined by one space."""
+    names = docs.columns
+    sized = docs.withColumns({"size": word_count("text"), "tie": F.xxhash64("text")}) if not {"size", "tie"} & set(names) else None
+    if sized is None:
+        raise ValueError("columns named size or tie clash with the mixture's own")
+    taken = taken_words(sized, source_targets(sized.select("source", "size"), **goal), seed, parts=True)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    times = (F.col("__whole") + F.when((F.col("__extra") >= F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("int")
+    part = F.when((F.col("__extra") > 0) & (F.col("__extra") < F.col("size")), F.array(F.array_join(F.slice(words, 1, F.col("__extra").cast("int")), " "))).otherwise(F.array().cast("array<string>"))
+    copies = taken.withColumn("text", F.explode(F.concat(F.array_repeat("text", times), part)))
+    return copies.select(*names)
