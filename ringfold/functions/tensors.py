@@ -1,4 +1,8 @@
-"""Strain, stress and slip as column expressions over arrays; 3x3 matrices by rows, Voigt order 11, 22, 33, 23, 13, 12."""
+"""Strain, stress and slip as column expressions over arrays; 3x3 matrices by rows, Voigt order 11, 22, 33, 23, 13, 12.
+
+Each function names its arguments several times, so chains of matrix functions should go
+through columns of a DataFrame rather than nest.
+"""
 
 from __future__ import annotations
 
@@ -64,13 +68,16 @@ def cell_matrix(a: Column, b: Column, c: Column, alpha: Column, beta: Column, ga
 
 
 def cell_volume(a: Column, b: Column, c: Column, alpha: Column, beta: Column, gamma: Column) -> Column:
-    return determinant(cell_matrix(a, b, c, alpha, beta, gamma))
+    ca, cb, cg = (F.cos(F.radians(x)) for x in (alpha, beta, gamma))
+    return a * b * c * F.sqrt(1 - ca * ca - cb * cb - cg * cg + 2 * ca * cb * cg)
 
 
 def d_spacing(h: Column, k: Column, l: Column, a: Column, b: Column, c: Column, alpha: Column, beta: Column, gamma: Column) -> Column:  # noqa: E741
-    """Lattice spacing of any cell: 1 / |B hkl| with B the inverse transpose of the cell's matrix."""
-    g = apply(transposed(inverse(cell_matrix(a, b, c, alpha, beta, gamma))), F.array(h, k, l))
-    return 1 / F.sqrt(total([at(g, i) * at(g, i) for i in range(3)]))
+    """Lattice spacing of any cell, from its reciprocal metric; null for (0, 0, 0)."""
+    (ca, sa), (cb, sb), (cg, sg) = ((F.cos(F.radians(x)), F.sin(F.radians(x))) for x in (alpha, beta, gamma))
+    squares = F.pow(h * b * c * sa, 2) + F.pow(k * a * c * sb, 2) + F.pow(l * a * b * sg, 2)
+    mixed = h * k * a * b * c * c * (ca * cb - cg) + k * l * a * a * b * c * (cb * cg - ca) + h * l * a * b * b * c * (ca * cg - cb)
+    return cell_volume(a, b, c, alpha, beta, gamma) / F.sqrt(F.nullif(squares + 2 * mixed, F.lit(0.0)))
 
 
 def lattice_strain(strained: Column, reference: Column) -> Column:
