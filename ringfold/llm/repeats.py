@@ -45,10 +45,12 @@ class Entries:
 
     def blobs(self, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """One blob for each bucket that gets a place; ``bucket`` names each place's. Places must lie in the order of doc, pos."""
-        order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+        if not len(bucket):
+            return
+        order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
         bucket, doc, pos = bucket[order], self.doc[order], self.pos[order]
         hashes = None if self.hashes is None else self.hashes[order]
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         packer = zstandard.ZstdCompressor(level=1)
         for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
             d, p = doc[a:b], pos[a:b]
