@@ -32,7 +32,8 @@ from ringfold.llm.shared import settled
 from ringfold.llm.text import IS_SPACE, buffers, bytes_of, mix, slices, window_hashes, word_hashes, words
 
 ORDER = 4
-MODEL_ROWS = 6_000_000
+#: Rows of the model that are broadcast, about 50 bytes each in a worker.
+MODEL_ROWS = 3_000_000
 WIDTH, LEAST = 8.0, 0.05
 STEP = 0.001
 _PAD = 2
@@ -109,7 +110,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _discounted(counts: DataFrame, order: int) -> DataFrame:
     """(lang, high, low, n) of one order to (lang, high, low, p, backoff of the context): the order's own share of the probability.
 
-    Discounts follow from how many n-grams occur once to four times in each language.
+    Discounts follow from how many n-grams occur once to four times in each language. Of what
+    occurs once the whole count is taken off: the text under judgement is among those
+    counted, and must not vouch for itself.
     """
     tally = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == k, 1.0).otherwise(0.0)).alias(f"t{k}") for k in (1, 2, 3, 4)])
     y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
@@ -122,8 +125,8 @@ def _discounted(counts: DataFrame, order: int) -> DataFrame:
     # a zero count of counts would divide by zero: such discounts are half the count
     safe = tally.select("lang", *[F.greatest(f"t{k}", F.lit(0.0)).alias(f"t{k}") for k in (1, 2, 3, 4)])
     safe = safe.select("lang", *[F.when(F.col(f"t{k}") == 0, None).otherwise(F.col(f"t{k}")).alias(f"t{k}") for k in (1, 2, 3, 4)])
-    discounts = safe.select("lang", *[F.coalesce(discount(k), F.lit(k * 0.5)).alias(f"d{k}") for k in (1, 2, 3)])
-    with_d = counts.join(F.broadcast(discounts), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+    discounts = safe.select("lang", *[F.coalesce(discount(k), F.lit(k * 0.5)).alias(f"d{k}") for k in (2, 3)])
+    with_d = counts.join(F.broadcast(discounts), "lang").withColumn("d", F.when(F.col("n") == 1, F.lit(1.0)).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
     context = F.shiftright("low", _BITS)
     contexts = with_d.groupBy("lang", "high", context.alias("mid")).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("backoff"))
     own = with_d.withColumn("mid", context).join(contexts, ["lang", "high", "mid"])
