@@ -9,10 +9,12 @@ arrays' size is checked before they are broadcast, and beyond ``MODEL_ROWS`` row
 scores come from a join of each document's n-grams with the model's table instead.
 
 A document is rejected if the logarithm of its perplexity lies outside its language's band:
-the median plus or minus ``WIDTH`` times the scaled median absolute deviation (``LEAST`` at
-least, so that a uniform corpus loses nothing), both taken from an exact histogram over all
-documents that pass the base rules. Text of another kind or language lies above, text
-that repeats itself lies below.
+the median plus or minus ``WIDTH`` times the scaled median absolute deviation, both taken from
+an exact histogram over all documents that pass the base rules. Text of another kind or
+language lies above, text that repeats itself lies below. The language's own spread decides:
+``LEAST`` is two of the histogram's steps, below which a deviation can't be told from rounding.
+``WIDTH`` is the least whole number at which fewer than one in a hundred of the documents
+labelled good were rejected where it was chosen (README).
 
 Rows: a null text has no words and fails the base rules; a null language is a language of
 its own. Rows that repeat each get their row. An empty table gives no rows.
@@ -34,8 +36,8 @@ from ringfold.llm.text import IS_SPACE, buffers, bytes_of, mix, slices, window_h
 ORDER = 4
 #: Rows of the model that are broadcast, about 50 bytes each in a worker.
 MODEL_ROWS = 3_000_000
-WIDTH, LEAST = 8.0, 0.05
 STEP = 0.001
+WIDTH, LEAST = 5.0, 2 * STEP
 _PAD = 2
 _BITS = 21
 _SYMBOL = np.zeros(256, bool)

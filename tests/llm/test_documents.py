@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Row
 
 from ringfold.llm import idfiles, langid, licenses, mixing, packing, pii, quality, repeats, simhash
 
@@ -188,6 +189,25 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark):
     assert all(rows[k].kept for k in range(120)) and not rows[120].base_failed and not rows[120].kept
 
 
+def test_perplexity_band_follows_the_spread(spark):
+    rng = np.random.default_rng(6)
+    syllables = ["ta", "ri", "mo", "len", "sa", "ko", "ne", "vi"]
+    prose = [["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(300)] for _ in range(164)]
+    for words_ in prose[160:]:
+        for at in rng.choice(300, 18, replace=False):
+            words_[at] = "".join(rng.choice(list("bdfghjpqwxz"), 5))
+    d = spark.createDataFrame([(k, " ".join(t), "x") for k, t in enumerate(prose)], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in quality.judge(d).collect()}
+    lp = np.log([rows[k].perplexity for k in range(164)])
+    half = np.log(rows[0].upper / rows[0].lower) / 2
+    sigma = 1.4826 * np.median(np.abs(lp - np.median(lp)))
+    assert abs(half - quality.WIDTH * sigma) < quality.WIDTH * 1.5 * quality.STEP and half < 0.2
+    assert all(lp[k] - np.median(lp) < 0.4 for k in range(164))
+    assert all(rows[k].kept for k in range(160)) and not any(rows[k].kept or rows[k].base_failed for k in range(160, 164))
+    low = quality._bands([Row(lang="x", bucket=b, n=n) for b, n in ((1000, 1), (1480, 40), (1500, 90), (1520, 40), (1700, 2))], quality.WIDTH, quality.LEAST)
+    assert 1.0 < low[0][1] and low[0][2] < 1.7
+
+
 def test_pseudonyms_keep_format_and_link():
     text = "Card 4550 9970 1234 5675? 4550997810720808, 4550-9978-1072-0808; on 2024-02-29 and 29.02.2024 from 10.1.2.3, Version 2.0."
     out, found = pii.pseudonymised(text.encode(), b"k")
