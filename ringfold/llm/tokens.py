@@ -8,7 +8,9 @@ The tokenizers library does the merging. Two facts make most of its work unneces
   in which a whole slice of texts is looked up at once.
 * In a piece of plain letters, digits, punctuation and line feeds the splitting rule can be
   applied here, and only the merging is left to the library's model. Any other piece goes
-  through the whole tokenizer.
+  through the whole tokenizer, and so does one that holds an added token's string
+  (``<|endoftext|>``): the library gives that token's id. These strings have no space, so no
+  cut falls inside one.
 """
 
 from __future__ import annotations
@@ -64,15 +66,20 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Encoder:
-    """Ids of texts, as one flat array and a length for each text."""
+    """Ids of texts, as one flat array and a length for each text.
 
-    def __init__(self, name: str, kept: int = KEPT_PIECES):
+    With ``added``, as the operators have it, ids are those of the library's default call with
+    add_special_tokens=False; without, an added token's string is text like any other.
+    """
+
+    def __init__(self, name: str, kept: int = KEPT_PIECES, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(public_tokenizers.path(name))
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not added
+        self.added = tuple(t.content for t in self.whole.get_added_tokens_decoder().values()) if added else ()
         self.model = Tokenizer.from_file(public_tokenizers.path(name)).model
         self.model._resize_cache(0)
         self.lower = name.startswith("word")
@@ -87,7 +94,7 @@ class Encoder:
         self.starts, self.counts = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
 
     def _ids(self, piece: str) -> list[int]:
-        if not _PLAIN(piece):
+        if not _PLAIN(piece) or any(t in piece for t in self.added):
             return self.whole.encode(piece, add_special_tokens=False).ids
         ids: list[int] = []
         for part in self.split(piece.lower() if self.lower else piece):
@@ -156,5 +163,5 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(name: str) -> Encoder:
     """The worker's encoder of that vocabulary, made once."""
     if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(name)
+        _ENCODERS[name] = Encoder(name, added=True)
     return _ENCODERS[name]

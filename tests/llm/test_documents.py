@@ -278,6 +278,30 @@ def test_encoder_is_the_library(spark):
             assert counts.tolist() == [len(w) for w in want] and (ids == np.concatenate(want)).all()
 
 
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from ringfold.llm.tokens import Encoder
+
+    texts = ["a b <|endoftext|> c", "<|startoftext|>", "x<|endoftext|>y it's\n<|endoftext|>\n z", "e<|startoftext|>\u0301 漢<|endoftext|>字", "<|ENDOFTEXT|> <|endoftext |> <|endof text|>", "é <|endoftext|><|startoftext|> <|endoftext|>  b ", "plain"]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    want = {}
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        whole = Tokenizer.from_file(public_tokenizers.path(name))
+        want[name] = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        for kept in (100_000, 5):
+            ids, counts = Encoder(name, kept, added=True).encode(buf, off)
+            assert counts.tolist() == [len(w) for w in want[name]] and ids.tolist() == sum(want[name], [])
+    assert want["byte_bpe_50k.json"][0] == [64, 275, 220, 50256, 269]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idfiles.write_ids(d, f"{tmp_path}/ids")
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in idfiles.read_ids(spark, f"{tmp_path}/ids").collect()}
+    assert got == {k: [*w, 2] for k, w in enumerate(want["byte_bpe_50k.json"])}
+    assert {r.doc_id: r.length for r in packing.pack(d).collect()} == {k: len(w) + 1 for k, w in enumerate(want["word_bpe_49k.json"])}
+
+
 def test_packing_is_whole_and_tight(docs, empty):
     rows = packing.pack(docs).collect()
     ids = Counter()
