@@ -5,9 +5,9 @@ spellings made one, everything but letters and digits to single spaces. Its SHA-
 joined with the digests of known licence texts. A document is looked up as a whole, and each
 of its lines as a text of its own, for one-line notices.
 
-Every known text speaks of a licence, and no step of the canonical form makes that word
-out of others, so only texts and lines in which it is written can match; the others are not
-brought to the canonical form. The known texts are a fixed list, so their digests are
+No step of the canonical form makes the words of ``GATE`` out of others, and every known text
+holds one of them, so only texts and lines in which one is written can match; the others are
+not brought to the canonical form. The known texts are a fixed list, so their digests are
 broadcast.
 
 Rows: null and empty texts match nothing. Each row gets one row; repeated rows the same. A
@@ -37,6 +37,7 @@ STEPS = [
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPOKEN = "[Ll][Ii][Cc][Ee][Nn][CcSs]"
+GATE = SPOKEN + "|[Pp][Ee][Rr][Mm][Ii][Ss][Ss][Ii][Oo][Nn]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr][Ii][Bb][Uu][Tt][Ii][Oo][Nn]|[Cc][Cc][^A-Za-z0-9]"
 
 # Licence texts, without their copyright lines.
 _MIT = """MIT License
@@ -78,7 +79,7 @@ _PHRASES = ["Licensed under the {}", "Licensed under {}", "Released under the {}
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """(licence, text): full texts with and without their heading, and one-line notices by rule."""
+    """(licence, text) of those that say licence, as the SQL has them: full texts with their heading, and one-line notices by rule."""
     full = [("MIT", _MIT), ("ISC", _ISC), ("Apache-2.0", _APACHE), ("BSD-2-Clause", _BSD_HEAD.format(n=2) + _BSD_TAIL), ("BSD-3-Clause", _BSD_HEAD.format(n=3) + _BSD_THIRD + _BSD_TAIL)]
     out = dict.fromkeys(full)
     for spdx, names in _NAMES.items():
@@ -90,6 +91,14 @@ def known_texts() -> list[tuple[str, str]]:
     return list(out)
 
 
+def further_texts() -> list[tuple[str, str]]:
+    """(licence, text) beyond the SQL's: full texts without their heading, as usually shipped, and notices that don't say licence."""
+    headed = [(spdx, text) for spdx, text in known_texts() if "\n" in text and spdx != "Apache-2.0"]
+    bare = [(spdx, text.split("\n", 1)[1]) for spdx, text in headed]
+    said = dict.fromkeys((spdx, phrase.format(name, id=spdx)) for spdx, names in _NAMES.items() for name in names for phrase in _PHRASES)
+    return bare + [row for row in said if "licen" not in row[1].lower()]
+
+
 def canonical(text: str | Column) -> Column:
     """The canonical form; null stays null."""
     c = F.translate(F.col(text) if isinstance(text, str) else text, UPPER, LOWER)
@@ -100,7 +109,7 @@ def canonical(text: str | Column) -> Column:
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """(digest, licence) of the known texts; a fixed, small table."""
-    known = spark.createDataFrame(known_texts(), "licence string, text string")
+    known = spark.createDataFrame(known_texts() + further_texts(), "licence string, text string")
     return known.select(F.sha2(canonical("text"), 256).alias("digest"), "licence").dropDuplicates(["digest"])
 
 
@@ -108,9 +117,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, licence, n_notices, notices) for each row: the licence that is the whole text, and how many lines are notices and of which licences, sorted."""
     known = F.broadcast(known_digests(docs.sparkSession))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    spoken = F.coalesce(F.col("text").rlike(SPOKEN), F.lit(False))
+    spoken = F.coalesce(F.col("text").rlike(GATE), F.lit(False))
     whole = rows.withColumn("digest", F.when(spoken, F.sha2(canonical("text"), 256))).join(known, "digest", "left").select("doc_id", "tie", "licence")
-    lines = rows.where(spoken).select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line", "said")).where(F.col("said").rlike(SPOKEN))
+    lines = rows.where(spoken).select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line", "said")).where(F.col("said").rlike(GATE))
     hits = lines.withColumn("digest", F.sha2(canonical("said"), 256)).join(known, "digest").select("doc_id", "tie", "line", "licence")
     notices = hits.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.count_distinct("line").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"))
     return whole.join(notices, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")), "left").select("doc_id", "licence", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))

@@ -1,6 +1,7 @@
 """Each operator on documents against brute force, with nulls, repeats, empty tables, long texts and clashing columns."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -418,3 +419,16 @@ def test_licences(spark, empty):
     assert got == key([(1, "MIT", 0, ""), (2, None, 2, "MIT"), (2, None, 2, "MIT"), (3, None, 0, ""), (4, None, 0, ""), (5, "BSD-3-Clause", 0, ""), (6, None, 0, ""), (None, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0")])
     assert licenses.scan(empty).count() == 0
     assert all("licen" in t.lower() for _, t in licenses.known_texts())
+
+
+def test_licences_without_their_heading(spark):
+    mit, isc = (t.split("\n", 1)[1] for t in (licenses._MIT, licenses._ISC))
+    bsd2, bsd3 = ((licenses._BSD_HEAD + third + licenses._BSD_TAIL).split("\n", 1)[1] for third in ("", licenses._BSD_THIRD))
+    texts = [("MIT", mit), ("ISC", isc), ("BSD-2-Clause", bsd2), ("BSD-3-Clause", bsd3)]
+    rows = [(k, "Copyright (c) 2021, A. B.\nAll rights reserved.\n\n" + text) for k, (_, text) in enumerate(texts)]
+    rows += [(10 + k, f"prose here\n# released under the CC {x} 4.0.\nmore") for k, x in enumerate(("BY", "BY-SA", "BY-NC", "BY-ND"))] + [(20, "with permission of the editor, cc: all")]
+    found = {r.doc_id: (r.licence, r.n_notices, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k][0] for k in range(4)] == [spdx for spdx, _ in texts]
+    assert [found[10 + k] for k in range(4)] == [(None, 1, f"CC-{x}-4.0") for x in ("BY", "BY-SA", "BY-NC", "BY-ND")]
+    assert found[20] == (None, 0, "")
+    assert all(re.search(licenses.GATE, t) for _, t in licenses.known_texts() + licenses.further_texts())
