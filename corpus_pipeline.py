@@ -35,7 +35,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: weights 3, 1, 2 over the sources, half as many words again, at most two epochs."""
-    return _sized(mixing.mixed(docs))
+    return _sized(mixing.mixture(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,3 +103,11 @@ def mixed(docs: DataFrame, seed: int = 17, **goal) -> DataFrame:
     part = F.when((F.col("__extra") > 0) & (F.col("__extra") < F.col("size")), F.array(F.array_join(F.slice(words, 1, F.col("__extra").cast("int")), " "))).otherwise(F.array().cast("array<string>"))
     copies = taken.withColumn("text", F.explode(F.concat(F.array_repeat("text", times), part)))
     return copies.select(*names)
+
+
+def mixture(docs: DataFrame, seed: int = 17, **goal) -> DataFrame:
+    """The same for documents with any further columns: those go through ``mixed`` under private names, so that none clashes with the mixture's own."""
+    own = {"doc_id", "text", "source"}
+    private = {c: c if c in own else f"__kept{k}" for k, c in enumerate(docs.columns)}
+    hidden = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in private.items()])
+    return mixed(hidden, seed, **goal).select(*[F.col(p).alias(c) for c, p in private.items()])

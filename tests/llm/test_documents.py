@@ -432,3 +432,16 @@ def test_licences_without_their_heading(spark):
     assert [found[10 + k] for k in range(4)] == [(None, 1, f"CC-{x}-4.0") for x in ("BY", "BY-SA", "BY-NC", "BY-ND")]
     assert found[20] == (None, 0, "")
     assert all(re.search(licenses.GATE, t) for _, t in licenses.known_texts() + licenses.further_texts())
+
+
+def test_mixture_stage_takes_clashing_columns(spark, docs):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    plain = docs.select("doc_id", "text", "lang", "source")
+    clashing = docs.select("doc_id", "text", "lang", "source", "size", *[F.concat(F.lit(c), F.lit("!")).alias(c) for c in ("tie", "target", "source_size", "taken", "__whole", "__Extra", "a.b")])
+    out = corpus_pipeline.mix(spark, clashing, "")
+    assert out.columns == clashing.columns
+    rows = out.collect()
+    assert key(r[:4] for r in rows) == key(map(tuple, corpus_pipeline.mix(spark, plain, "").collect()))
+    assert rows and all(tuple(r[4:]) == (3, "tie!", "target!", "source_size!", "taken!", "__whole!", "__Extra!", "a.b!") for r in rows)
