@@ -2,11 +2,16 @@
 
 The model is an interpolated modified Kneser-Ney model over the code points of the text,
 folded (lower case, digits alike, white space as one space), of order ``ORDER`` for each
-language. Spark counts n-grams over every document and computes discounts, back-off weights
-and probabilities; the model then stands in arrays of n-gram hashes, sorted, with log
-probabilities and back-off weights beside them. What is counted grows with the corpus; the
-arrays' size is checked before they are broadcast, and beyond ``MODEL_ROWS`` rows the same
-scores come from a join of each document's n-grams with the model's table instead.
+language. Spark counts the n-grams of every document, in two folds by a hash of the text, and
+computes discounts, back-off weights and probabilities of both folds' models at once. A
+document is scored by the model of the other fold, so no text vouches for itself, and neither
+do its exact copies.
+
+What is counted grows with the corpus. The scores of the most frequent n-grams, at most
+``MODEL_ROWS``, are broadcast as arrays sorted by 64-bit hash; n-grams beyond them, if there
+are any, are met by a join, in which no key is frequent because the frequent ones are in the
+arrays. Scores are whole numbers (natural logarithms times ``SCALE``), so their sums are the
+same whichever way each n-gram went.
 
 A document is rejected if the logarithm of its perplexity lies outside its language's band:
 the median plus or minus ``WIDTH`` times the scaled median absolute deviation, both taken from
@@ -17,25 +22,27 @@ language lies above, text that repeats itself lies below. The language's own spr
 labelled good were rejected where it was chosen (README).
 
 Rows: a null text has no words and fails the base rules; a null language is a language of
-its own. Rows that repeat each get their row. An empty table gives no rows.
+its own. Rows that repeat each get their row. An empty table gives no rows. A language whose
+documents are all in one fold is scored evenly over its code points.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringfold.llm.shared import settled
 from ringfold.llm.text import IS_SPACE, buffers, bytes_of, mix, slices, window_hashes, word_hashes, words
 
 ORDER = 4
-#: Rows of the model that are broadcast, about 50 bytes each in a worker.
+#: N-grams whose scores are broadcast, 16 bytes each in a worker.
 MODEL_ROWS = 3_000_000
+SCALE = 1 << 20
+_CHUNK = 1 << 20
 STEP = 0.001
 WIDTH, LEAST = 5.0, 2 * STEP
 _PAD = 2
@@ -75,153 +82,185 @@ def gram_hash(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return mix(mix(high.astype(np.uint64) + np.uint64(0x51)) ^ low.astype(np.uint64))
 
 
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray]]:
-    langs = np.array([x or "" for x in batch.column(0).to_pylist()], object)
-    for lang in sorted(set(langs)):
-        yield lang, np.flatnonzero(langs == lang)
+def _salts(batch: pa.RecordBatch) -> np.ndarray:
+    """What is added to n-gram hashes of each row, by its language and fold."""
+    g, tie = (batch.column(k).to_numpy() for k in (0, 2))
+    return salt(g, tie & 1)
 
 
-def _texts(batch: pa.RecordBatch, at: np.ndarray) -> list[bytes]:
-    return batch.column(batch.schema.get_field_index("body")).take(pa.array(at)).to_pylist()
+def salt(g: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    return mix(mix(g.astype(np.uint64)) + fold.astype(np.uint64))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, list[np.ndarray]] = {}
-
-    def merged(rows: list[np.ndarray]) -> np.ndarray:
-        high, low, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-        h, first, back = np.unique(gram_hash(high, low), return_index=True, return_inverse=True)
-        return high[first], low[first], np.bincount(back, n, len(h)).astype(np.int64)
-
-    for batch in slices(batches):
-        for lang, at in _by_language(batch):
-            c, _ = folded(_texts(batch, at))
-            _, high, low = grams(c)
-            if not len(high):
-                continue
-            h, first, n = np.unique(gram_hash(high, low), return_index=True, return_counts=True)
-            held = total.setdefault(lang, [])
-            held.append((high[first], low[first], n))
-            if len(held) >= 16:
-                total[lang] = [merged(held)]
-    for lang, held in total.items():
-        high, low, n = merged(held)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(high), pa.array(low), pa.array(n)], ["lang", "high", "low", "n"])
-
-
-def _discounted(counts: DataFrame, order: int) -> DataFrame:
-    """(lang, high, low, n) of one order to (lang, high, low, p, backoff of the context): the order's own share of the probability.
-
-    Discounts follow from how many n-grams occur once to four times in each language. Of what
-    occurs once the whole count is taken off: the text under judgement is among those
-    counted, and must not vouch for itself.
-    """
-    tally = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == k, 1.0).otherwise(0.0)).alias(f"t{k}") for k in (1, 2, 3, 4)])
-    y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+def _grams_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, high, low, salted hash) of the n-grams of all rows, a bounded number at a time."""
+    salts = _salts(batch)
+    c, begins = folded(batch.column(batch.schema.get_field_index("body")).to_pylist())
+    for a in range(0, len(c), _CHUNK):
+        lead = min(a, ORDER - 1)
+        at, high, low = grams(c[a - lead : a + _CHUNK])
+        at, high, low = (x[np.searchsorted(at, lead) :] for x in (at, high, low))
+        row = np.searchsorted(begins, at + (a - lead), "right") - 1
+        yield row, high, low, gram_hash(high, low) ^ salts[row]
+
 
-    def discount(k: int):
-        usual = F.lit(k) - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}")
-        fine = (F.col(f"t{k}") > 0) & (F.col(f"t{k + 1}") > 0) & (F.col("t1") > 0)
-        return F.when(fine, F.least(F.greatest(F.when(fine, usual), F.lit(0.05)), F.lit(k - 0.05))).otherwise(k * 0.5)
+def _merged(held: list[tuple]) -> list[tuple]:
+    h, g, fold, high, low, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    h, first, back = np.unique(h, return_index=True, return_inverse=True)
+    return [(h, g[first], fold[first], high[first], low[first], np.bincount(back, n, len(h)).astype(np.int64))]
 
-    # a zero count of counts would divide by zero: such discounts are half the count
-    safe = tally.select("lang", *[F.greatest(f"t{k}", F.lit(0.0)).alias(f"t{k}") for k in (1, 2, 3, 4)])
-    safe = safe.select("lang", *[F.when(F.col(f"t{k}") == 0, None).otherwise(F.col(f"t{k}")).alias(f"t{k}") for k in (1, 2, 3, 4)])
-    discounts = safe.select("lang", *[F.coalesce(discount(k), F.lit(k * 0.5)).alias(f"d{k}") for k in (2, 3)])
-    with_d = counts.join(F.broadcast(discounts), "lang").withColumn("d", F.when(F.col("n") == 1, F.lit(1.0)).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-    context = F.shiftright("low", _BITS)
-    contexts = with_d.groupBy("lang", "high", context.alias("mid")).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("backoff"))
-    own = with_d.withColumn("mid", context).join(contexts, ["lang", "high", "mid"])
-    return own.select("lang", "high", "low", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), "backoff")
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)[0][1:]], ["g", "fold", "high", "low", "n"])
+
+    for batch in slices(batches, most=_CHUNK):
+        g, tie = (batch.column(k).to_numpy() for k in (0, 2))
+        for row, high, low, h in _grams_of(batch):
+            if len(h):
+                h, first, n = np.unique(h, return_index=True, return_counts=True)
+                row = row[first]
+                held.append((h, g[row], tie[row] & 1, high[first], low[first], n))
+        if len(held) >= 16:
+            held = _merged(held)
+            if len(held[0][0]) > _CHUNK:
+                yield out()
+                held = []
+    if held:
+        yield out()
 
 
 _MASK = (1 << _BITS) - 1
 
 
-def _shorter(df: DataFrame, drop: int) -> tuple[object, object]:
+def _shorter(drop: int) -> tuple[Column, Column]:
     """Columns high and low with the first ``drop`` code points blanked; 0 stands for a place that isn't there."""
     if drop == 1:
         return F.col("high").bitwiseAND(F.lit(_MASK)), F.col("low")
     return F.lit(0).cast("long"), F.col("low") if drop == 2 else F.col("low").bitwiseAND(F.lit(_MASK))
 
 
-def model_table(docs: DataFrame) -> DataFrame:
-    """(lang, order, high, low, p, backoff): interpolated probabilities of every n-gram, orders 1 to ORDER; backoff is the weight that the n-gram's context leaves to shorter ones."""
-    raw = docs.select(F.col("lang").cast("string").alias("lang"), bytes_of("text").alias("body")).mapInArrow(_count, "lang string, high long, low long, n long")
-    levels = [settled(raw.groupBy("lang", "high", "low").agg(F.sum("n").alias("n")))]
-    for drop in (1, 2, 3):
-        high, low = _shorter(levels[-1], drop)
-        levels.append(levels[-1].select("lang", high.alias("high"), low.alias("low")).groupBy("lang", "high", "low").agg(F.count("*").alias("n")))
-    shortest = _discounted(levels[3], 1)
-    size = levels[3].groupBy("lang").agg((F.count("*") + 1).alias("v"))
-    done = [shortest.join(F.broadcast(size), "lang").select("lang", "high", "low", (F.col("p") + F.col("backoff") / F.col("v")).alias("p"), "backoff")]
-    for order in (2, 3, 4):
-        own = _discounted(levels[ORDER - order], order)
-        high, low = _shorter(own, ORDER - order + 1)
-        lower = done[-1].select("lang", F.col("high").alias("h"), F.col("low").alias("l"), F.col("p").alias("q"))
-        joined = own.withColumns({"h": high, "l": low}).join(lower, ["lang", "h", "l"])
-        done.append(settled(joined.select("lang", "high", "low", (F.col("p") + F.col("backoff") * F.col("q")).alias("p"), "backoff")))
-    out = None
-    for order, t in enumerate(done, 1):
-        t = t.select("lang", F.lit(order).alias("order"), "high", "low", "p", "backoff")
-        out = t if out is None else out.unionByName(t)
-    return out
+def _discounts(counts: DataFrame) -> DataFrame:
+    """(order, g, d10, d20, d30, d11, d21, d31): discounts of counts 1, 2 and 3 or more in fold 0 and fold 1.
+
+    They follow from how many n-grams occur once to four times in each language; a discount
+    that these don't give (some count of counts is 0) is half the count.
+    """
+    tally = counts.groupBy("order", "g").agg(*[F.sum(F.when(F.col(f"n{f}") == k, 1.0).otherwise(0.0)).alias(f"t{k}{f}") for f in (0, 1) for k in (1, 2, 3, 4)])
+
+    def discount(k: int, f: int):
+        t = {j: F.col(f"t{j}{f}") for j in (1, 2, 3, 4)}
+        fine = (t[1] > 0) & (t[k] > 0) & (t[k + 1] > 0)
+        y = t[1] / F.greatest(t[1] + 2 * t[2], F.lit(1.0))
+        usual = F.lit(k) - (k + 1) * y * t[k + 1] / F.greatest(t[k], F.lit(1.0))
+        return F.when(fine, F.least(F.greatest(usual, F.lit(0.05)), F.lit(k - 0.05))).otherwise(k * 0.5)
 
+    return tally.select("order", "g", *[discount(k, f).alias(f"d{k}{f}") for f in (0, 1) for k in (1, 2, 3)])
 
-class Model:
-    """A language's n-grams by sorted hash, with log probabilities, for each order; and its contexts' back-off weights."""
-
-    def __init__(self, order: np.ndarray, high: np.ndarray, low: np.ndarray, p: np.ndarray, backoff: np.ndarray):
-        self.keys, self.logs, self.contexts, self.weights = [], [], [], []
-        for k in range(1, ORDER + 1):
-            at = np.flatnonzero(order == k)
-            h = gram_hash(high[at], low[at])
-            s = np.argsort(h)
-            self.keys.append(h[s])
-            self.logs.append(np.log(p[at][s]).astype(np.float32))
-            c, first = np.unique(gram_hash(high[at], low[at] >> _BITS), return_index=True)
-            self.contexts.append(c)
-            self.weights.append(np.log(np.maximum(backoff[at][first], 1e-12)).astype(np.float32))
-        self.unseen = np.float32(self.weights[0][0] - math.log(len(self.keys[0]) + 1)) if len(self.weights[0]) else np.float32(-20.0)
-        self.slots = 1 << max(8, (2 * len(self.keys[-1])).bit_length())
-        self.quick, self.quick_log = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.float32)
-        at = (self.keys[-1] & np.uint64(self.slots - 1)).astype(np.int64)
-        self.quick[at], self.quick_log[at] = self.keys[-1], self.logs[-1]
-
-    @staticmethod
-    def _find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(keys, asked)
-        at[at == len(keys)] = 0
-        return np.where(keys[at] == asked, at, -1) if len(keys) else np.full(len(asked), -1)
-
-    def log_p(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Log probability of each n-gram's last code point after the others, backing off where the n-gram wasn't counted."""
-        h = gram_hash(high, low)
-        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
-        out = self.quick_log[slot].copy()
-        left = np.flatnonzero(self.quick[slot] != h)
-        high, low, owed = high[left], low[left], np.zeros(len(left), np.float32)
-        for k in range(ORDER, 0, -1):
-            at = self._find(self.keys[k - 1], gram_hash(high, low))
-            hit = at >= 0
-            out[left[hit]] = owed[hit] + self.logs[k - 1][at[hit]]
-            left, high, low, owed = left[~hit], high[~hit], low[~hit], owed[~hit]
-            if not len(left):
-                return out
-            at = self._find(self.contexts[k - 1], gram_hash(high, low >> _BITS))
-            owed = owed + np.where(at >= 0, self.weights[k - 1][np.maximum(at, 0)], np.float32(0)) if k > 1 else owed
-            drop = ORDER - k + 1
-            high = high & _MASK if drop == 1 else np.zeros_like(high)
-            low = low & _MASK if drop >= 3 else low
-        out[left] = owed + self.unseen
-        return out
-
-
-def models(table: DataFrame) -> dict[str, Model]:
-    rows = table.toArrow()
-    lang = np.array(rows.column("lang").to_pylist(), object)
-    columns = [rows.column(k).to_numpy() for k in ("order", "high", "low", "p", "backoff")]
-    return {x: Model(*(c[lang == x] for c in columns)) for x in sorted(set(lang))}
+
+def _own(counts: DataFrame) -> DataFrame:
+    """(order, g, high, low, n0, n1, own0, own1, back0, back1, v): each fold's discounted share, and the weight left to shorter n-grams.
+
+    A context that a fold hasn't seen leaves all to the shorter ones. A context has as many
+    followers (v, one more for what was never seen) as the language has code points at most.
+    """
+    rows = counts.join(F.broadcast(_discounts(counts)), ["order", "g"])
+    for f in (0, 1):
+        n = F.col(f"n{f}")
+        rows = rows.withColumn(f"d{f}", F.when(n == 0, 0.0).when(n == 1, F.col(f"d1{f}")).when(n == 2, F.col(f"d2{f}")).otherwise(F.col(f"d3{f}")))
+    every = Window.partitionBy("order", "g", "high", "context")
+    sums = [F.sum(f"{x}{f}").over(every).alias(f"{x}_{f}") for x in ("n", "d") for f in (0, 1)]
+    rows = rows.withColumn("context", F.shiftright("low", _BITS)).select("*", *sums, (F.count("*").over(every) + 1).alias("v"))
+    seen = {f: F.col(f"n_{f}") > 0 for f in (0, 1)}
+    total = {f: F.greatest(F.col(f"n_{f}"), F.lit(1)) for f in (0, 1)}
+    return rows.select(
+        "order", "g", "high", "low", "n0", "n1", "v",
+        *[((F.col(f"n{f}") - F.col(f"d{f}")) / total[f]).alias(f"own{f}") for f in (0, 1)],
+        *[F.when(seen[f], F.col(f"d_{f}") / total[f]).otherwise(1.0).alias(f"back{f}") for f in (0, 1)],
+    )
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """(g, high, low, n0, n1, p0, p1): both folds' interpolated probabilities of every n-gram of order ORDER that either has.
+
+    ``counts``: (g, fold, high, low, n). Shorter n-grams count in how many longer ones they
+    end; those that begin a text, which nothing precedes, count as often as they occur.
+    """
+    both = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)]
+    levels = [settled(counts.groupBy("g", "high", "low").agg(*both))]
+    for drop in (1, 2, 3):
+        high, low = _shorter(drop)
+        first = (F.col("low") if drop == 3 else F.shiftright("low", _BITS) if drop == 2 else F.col("high")) == _PAD
+        shorter = levels[-1].select("g", high.alias("high"), low.alias("low"), "n0", "n1")
+        times = [F.when(first, F.col(f"n{f}")).otherwise(F.when(F.col(f"n{f}") > 0, 1).otherwise(0)).alias(f"n{f}") for f in (0, 1)]
+        levels.append(shorter.select("g", "high", "low", *times).groupBy("g", "high", "low").agg(*[F.sum(f"n{f}").alias(f"n{f}") for f in (0, 1)]))
+    every = None
+    for order, level in zip((4, 3, 2, 1), levels, strict=True):
+        level = level.withColumn("order", F.lit(order))
+        every = level if every is None else every.unionByName(level)
+    own = settled(_own(settled(every)))
+    done = own.where("order = 1").select("g", "high", "low", *[(F.col(f"own{f}") + F.col(f"back{f}") / F.col("v")).alias(f"p{f}") for f in (0, 1)])
+    for order in (2, 3, 4):
+        high, low = _shorter(ORDER - order + 1)
+        lower = done.select("g", F.col("high").alias("h"), F.col("low").alias("l"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+        longer = own.where(F.col("order") == order).withColumns({"h": high, "l": low})
+        done = longer.join(lower, ["g", "h", "l"]).select("g", "high", "low", "n0", "n1", *[(F.col(f"own{f}") + F.col(f"back{f}") * F.col(f"q{f}")).alias(f"p{f}") for f in (0, 1)])
+    return done
+
+
+def score_table(docs: DataFrame) -> DataFrame:
+    """(g, fold, high, low, n, score) of every n-gram of every fold: how often it occurs there, and its score by the other fold's model."""
+    p = settled(probabilities(_rows(docs).mapInArrow(_count, "g long, fold long, high long, low long, n long")))
+    sides = [p.where(F.col(f"n{f}") > 0).select("g", F.lit(f).cast("long").alias("fold"), "high", "low", F.col(f"n{f}").alias("n"), F.round(F.log(f"p{1 - f}") * SCALE).cast("int").alias("score")) for f in (0, 1)]
+    return sides[0].unionByName(sides[1])
+
+
+class Scores:
+    """Scores of n-grams in arrays sorted by salted hash, found from where the hash's leading bits begin."""
+
+    def __init__(self, g: np.ndarray, fold: np.ndarray, high: np.ndarray, low: np.ndarray, score: np.ndarray):
+        h = gram_hash(high, low) ^ salt(g, fold)
+        order = np.argsort(h)
+        self.keys, self.scores = h[order], score[order].astype(np.int32)
+        self.shift = np.uint64(64 - max(8, len(h).bit_length()))
+        self.begins = np.searchsorted(self.keys >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The score of each hash, and whether it has one."""
+        out, found = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        if not len(self.keys):
+            return out, found
+        last = len(self.keys) - 1
+        at = np.minimum(self.begins[(h >> self.shift).astype(np.int64)], last)
+        left = None
+        while True:
+            key = self.keys[at]
+            hit = key == h
+            where = np.flatnonzero(hit) if left is None else left[hit]
+            out[where], found[where] = self.scores[at[hit]], True
+            on = ~hit & (key < h) & (at < last)
+            if not on.any():
+                return out, found
+            left = np.flatnonzero(on) if left is None else left[on]
+            at, h = at[on] + 1, h[on]
+
+
+def _frequent(table: DataFrame, most: int) -> tuple[int, bool]:
+    """The least class of frequency (64 classes for each doubling) whose n-grams and all more frequent ones are at most ``most``; whether any are left out."""
+    rows = sorted(table.groupBy(_class().alias("class")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    total, least = 0, 1 << 30
+    for r in rows:
+        total += r.n
+        if total > most:
+            return least, True
+        least = r["class"]
+    return least, False
+
+
+def _class() -> Column:
+    return F.floor(F.log2("n") * 64).cast("int")
 
 
 def _base(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -254,83 +293,87 @@ def _base(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [n_words, chars, symbols, lines, upto[first[1:]] - upto[first[:-1]]]
 
 
-_SCORED = "lang string, doc_id long, tie long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_p double"
+def _rows(docs: DataFrame) -> DataFrame:
+    """g (a hash of the language), doc_id, tie (a hash of the text; its last bit is the fold), body."""
+    lang = F.col("lang").cast("string")
+    return docs.select(F.xxhash64(lang.isNull(), F.coalesce(lang, F.lit(""))).alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), bytes_of("text").alias("body"))
 
 
-def _scored(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """Base counts, number of scored code points and their summed log probability, for each row."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), bytes_of("text").alias("body"))
+_SCORED = "g long, doc_id long, tie long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_p long"
+
+
+def _scored(docs: DataFrame, most: int) -> DataFrame:
+    """Base counts, number of scored code points and their summed scores, for each row."""
     names = [x.split()[0] for x in _SCORED.split(", ")]
-    direct = table.count() <= MODEL_ROWS
-    held = docs.sparkSession.sparkContext.broadcast(models(table)) if direct else None
+    table = score_table(docs)
+    least, more = _frequent(table, most)
+    top = table.where(_class() >= least).drop("n").toArrow()
+    held = docs.sparkSession.sparkContext.broadcast(Scores(*(top.column(k).to_numpy() for k in ("g", "fold", "high", "low", "score"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for lang, at in _by_language(batch) if held is not None else ():
-                c, begins = folded(_texts(batch, at))
-                where, high, low = grams(c)
-                logs = held.value[lang].log_p(high, low).astype(np.float64) if len(where) else np.zeros(0)
-                upto = np.searchsorted(where, begins)
-                n[at] = np.diff(upto)
-                whole = np.concatenate([[0.0], np.cumsum(np.rint(logs * (1 << 20)).astype(np.int64))])
-                total[at] = np.diff(whole[upto]) / (1 << 20)
+        for batch in slices(batches, most=_CHUNK):
+            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for row, _, _, h in _grams_of(batch):
+                if len(h):
+                    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                    scores, _ = held.value.find(h)
+                    n[row[first]] += np.diff(np.append(first, len(row)))
+                    total[row[first]] += np.add.reduceat(scores, first)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, _base(batch)), pa.array(n), pa.array(total)], names)
 
-    scored = rows.mapInArrow(run, _SCORED)
-    return scored if direct else _scored_by_join(rows, settled(scored), table)
-
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=_CHUNK):
+            for row, high, low, h in _grams_of(batch):
+                lost = np.flatnonzero(~held.value.find(h)[1])
+                row, high, low, h = (x[lost] for x in (row, high, low, h))
+                _, first, n = np.unique(mix(h ^ mix(row.astype(np.uint64))), return_index=True, return_counts=True)
+                of = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in range(3)), pa.array(high[first]), pa.array(low[first]), pa.array(n)], ["g", "doc_id", "tie", "high", "low", "times"])
 
-def _scored_by_join(rows: DataFrame, base: DataFrame, table: DataFrame) -> DataFrame:
-    """The same by a join of each document's distinct n-grams with the model, for models too large to broadcast."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=1 << 20):
-            for lang, at in _by_language(batch):
-                c, begins = folded(_texts(batch, at))
-                where, high, low = grams(c)
-                doc = at[np.searchsorted(begins, where, "right") - 1]
-                _, first, n = np.unique(mix(gram_hash(high, low) ^ mix(doc.astype(np.uint64))), return_index=True, return_counts=True)
-                own = pa.array(doc[first])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), batch.column(1).take(own), batch.column(2).take(own), pa.array(high[first]), pa.array(low[first]), pa.array(n)], ["lang", "doc_id", "tie", "high", "low", "n"])
-
-    key = ["lang", "doc_id", "tie"]
-    counted = rows.dropDuplicates(key).mapInArrow(run, "lang string, doc_id long, tie long, high long, low long, n long")
-    whole = F.round(F.log(F.col("p").cast("float").cast("double")) * (1 << 20)).cast("long")
-    sums = counted.join(table.where(F.col("order") == ORDER), ["lang", "high", "low"]).groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * whole) / (1 << 20)).alias("s"))
+    rows = _rows(docs)
+    scored = rows.mapInArrow(run, _SCORED)
+    if not more:
+        return scored
+    key = ["g", "doc_id", "tie"]
+    scored = settled(scored)
+    asked = rows.mapInArrow(rare, "g long, doc_id long, tie long, high long, low long, times long").withColumn("fold", F.col("tie").bitwiseAND(F.lit(1).cast("long")))
+    sums = asked.join(table.where(_class() < least), ["g", "fold", "high", "low"]).groupBy(*key).agg(F.sum(F.col("times") * F.col("score")).alias("rest"))
+    # rows alike in the key have each asked for the same
+    alike = scored.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.count("*").alias("alike"))
     same = F.lit(True)
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return base.drop("n_chars", "log_p").join(sums, same, "left").select(*base.columns[:-2], F.coalesce("n", F.lit(0)).alias("n_chars"), F.coalesce("s", F.lit(0.0)).alias("log_p"))
+    owed = sums.join(alike, same).select(*[f"_{k}" for k in key], (F.col("rest") / F.col("alike")).cast("long").alias("rest"))
+    return scored.join(owed, same, "left").select(*names[:-1], (F.col("log_p") + F.coalesce("rest", F.lit(0))).alias("log_p"))
 
 
-def _bands(histogram: list, width: float, least: float) -> list[tuple[str, float, float]]:
-    """Lower and upper log perplexity of each language, from rows (lang, bucket, n)."""
-    by: dict[str, list] = {}
+def _bands(histogram: list, width: float, least: float) -> list[tuple[int, float, float]]:
+    """Lower and upper log perplexity of each language, from rows (g, bucket, n)."""
+    by: dict[int, list] = {}
     for r in histogram:
-        by.setdefault(r.lang, []).append((r.bucket, r.n))
+        by.setdefault(r.g, []).append((r.bucket, r.n))
     out = []
-    for lang, rows in sorted(by.items()):
+    for g, rows in sorted(by.items()):
         at, n = (np.array(x) for x in zip(*sorted(rows), strict=True))
         middle = at[np.searchsorted(np.cumsum(n), n.sum() / 2)]
         away, back = np.unique(np.abs(at - middle), return_inverse=True)
         spread = away[np.searchsorted(np.cumsum(np.bincount(back, n)), n.sum() / 2)]
         half = width * max(1.4826 * spread * STEP, least)
-        out.append((lang, float(middle * STEP - half), float(middle * STEP + half)))
+        out.append((g, float(middle * STEP - half), float(middle * STEP + half)))
     return out
 
 
-def judge(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
+def judge(docs: DataFrame, width: float = WIDTH, least: float = LEAST, model_rows: int = MODEL_ROWS) -> DataFrame:
     """(doc_id, tie, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity, lower, upper) for each row.
 
     Base rules: fewer than 50 words, or more than half of the words in windows of three that occur twice.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    log_perplexity = F.when(F.col("n_chars") > 0, -F.col("log_p") / F.greatest("n_chars", F.lit(1))).otherwise(0.0)
-    scored = settled(_scored(docs, model_table(docs)).withColumn("base_failed", failed).withColumn("lp", log_perplexity))
-    histogram = scored.where(~F.col("base_failed")).groupBy("lang", F.round(F.col("lp") / STEP).cast("long").alias("bucket")).agg(F.count("*").alias("n")).collect()
-    bands = docs.sparkSession.createDataFrame(_bands(histogram, width, least), "lang string, low double, high double")
-    judged = scored.join(F.broadcast(bands), "lang", "left")
+    log_perplexity = F.when(F.col("n_chars") > 0, -F.col("log_p") / SCALE / F.greatest("n_chars", F.lit(1))).otherwise(0.0)
+    scored = settled(_scored(docs, model_rows).withColumn("base_failed", failed).withColumn("lp", log_perplexity))
+    histogram = scored.where(~F.col("base_failed")).groupBy("g", F.round(F.col("lp") / STEP).cast("long").alias("bucket")).agg(F.count("*").alias("n")).collect()
+    bands = docs.sparkSession.createDataFrame(_bands(histogram, width, least), "g long, low double, high double")
+    judged = scored.join(F.broadcast(bands), "g", "left")
     kept = ~F.col("base_failed") & F.col("lp").between(F.col("low"), F.col("high"))
     return judged.select(
         "doc_id", "tie", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

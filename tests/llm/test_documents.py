@@ -146,7 +146,7 @@ def test_keep_one_keeps_one_of_each(docs):
     assert kept[0].asDict().keys() == dict.fromkeys(c.split()[0] for c in SCHEMA.split(", ")).keys()
 
 
-def test_quality_counts_and_join_path(docs, empty, monkeypatch):
+def test_quality_counts_and_rare_ngrams(docs, empty):
     got = key((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(docs).collect())
     want = []
     for doc_id, text, *_ in ROWS:
@@ -160,23 +160,81 @@ def test_quality_counts_and_join_path(docs, empty, monkeypatch):
                 seen.add(line)
         want.append((doc_id, len(w), sum(len(x.decode()) for x in w), sum(t.count(s) for s in "#*$%&|<>"), lines, len(marked), len(w) < 50 or 100 * len(marked) > 50 * len(w)))
     assert got == key(want)
-    whole = key((r.doc_id, r.n_words, r.kept, round(r.perplexity, 4)) for r in quality.judge(docs).collect())
-    monkeypatch.setattr(quality, "MODEL_ROWS", 0)
-    assert whole == key((r.doc_id, r.n_words, r.kept, round(r.perplexity, 4)) for r in quality.judge(docs).collect())
-    monkeypatch.undo()
+    whole = key(tuple(r) for r in quality.judge(docs).collect())
+    for most in (0, 40, 900):
+        assert whole == key(tuple(r) for r in quality.judge(docs, model_rows=most).collect())
     assert quality.judge(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
-def test_model_probabilities_sum_to_one(docs):
-    table = quality.model_table(docs).where("lang = 'en' OR lang = ''")
-    model = quality.models(table)["en"]
-    kinds = np.unique(quality.folded([r[1].encode() for r in ROWS if r[1] and r[2] == "en"])[0])
-    kinds = kinds[kinds != 2].astype(np.int64)
-    for context in ("wor", "thi", "zzz"):
-        a, b, c = (ord(x) for x in context)
-        high, low = np.full(len(kinds), a << 21 | b), (c << 21) | kinds
-        total = np.exp(model.log_p(high, low).astype(float)).sum()
-        assert 0.97 < total <= 1.01
+def plain_fold(text):
+    t = "".join("0" if c.isascii() and c.isdigit() else " " if ord(c) <= 32 or c in "\xa0\u3000" else c for c in (text or "").lower())
+    return re.sub(" +", " ", t)
+
+
+class PlainModel:
+    """Interpolated modified Kneser-Ney of order 4 in dictionaries; ``kinds`` is the alphabet with one more for the unseen."""
+
+    def __init__(self, texts, kinds):
+        padded = ["\x02\x02\x02" + t for t in texts]
+        self.kinds, self.counts = kinds, {4: Counter(t[i - 3 : i + 1] for t in padded for i in range(3, len(t)))}
+        for order in (3, 2, 1):
+            c = Counter()
+            for gram, n in self.counts[order + 1].items():
+                c[gram[1:]] += n if gram[1] == "\x02" else 1
+            self.counts[order] = c
+        self.d, self.total, self.taken = {}, {}, {}
+        for order, c in self.counts.items():
+            t = Counter(c.values())
+            y = t[1] / max(t[1] + 2 * t[2], 1)
+            self.d[order] = [0.0] + [min(max(k - (k + 1) * y * t[k + 1] / t[k], 0.05), k - 0.05) if t[1] and t[k] and t[k + 1] else k / 2 for k in (1, 2, 3)]
+            self.total[order], self.taken[order] = Counter(), Counter()
+            for gram, n in c.items():
+                self.total[order][gram[:-1]] += n
+                self.taken[order][gram[:-1]] += self.d[order][min(n, 3)]
+
+    def p(self, gram):
+        lower = self.p(gram[1:]) if len(gram) > 1 else 1 / self.kinds
+        order, context = len(gram), gram[:-1]
+        if not self.total[order][context]:
+            return lower
+        n = self.counts[order][gram]
+        return (n - self.d[order][min(n, 3)] + self.taken[order][context] * lower) / self.total[order][context]
+
+
+def test_perplexity_is_that_of_a_plain_model(docs):
+    folds = {}
+    for _, text, lang, *_ in ROWS:
+        folds.setdefault((lang, (xxhash.xxh64_intdigest(text, 42) if text is not None else 42) & 1), []).append(plain_fold(text))
+    got = {}
+    for r in quality.judge(docs).collect():
+        got.setdefault((r.doc_id, r.n_words), set()).add(round(r.perplexity, 5))
+    assert {lang for lang, _ in folds} == {"en", "de", "fr", None} and len(folds) > 4
+    for doc_id, text, lang, *_ in ROWS:
+        fold = (xxhash.xxh64_intdigest(text, 42) if text is not None else 42) & 1
+        kinds = len({c for f in (0, 1) for t in folds.get((lang, f), []) for c in t}) + 1
+        model, t = PlainModel(folds.get((lang, 1 - fold), []), kinds), "\x02\x02\x02" + plain_fold(text)
+        logs = [np.log(model.p(t[i - 3 : i + 1])) for i in range(3, len(t))]
+        want = np.exp(-np.mean(logs)) if logs else 1.0
+        assert any(abs(x - want) < 1e-4 * want for x in got[doc_id, len(words(text))])
+
+
+def test_plain_model_sums_to_one():
+    texts = [plain_fold(r[1]) for r in ROWS if r[1] and r[2] == "en"]
+    kinds = {c for t in texts for c in t}
+    model = PlainModel(texts, len(kinds) + 1)
+    for context in ("wor", "thi", "zzz", "\x02\x02w"):
+        assert abs(sum(model.p(context + c) for c in [*kinds, "?unseen"[0]]) - 1) < 1e-9
+
+
+def test_long_texts_are_counted_in_chunks(spark, monkeypatch):
+    d = spark.createDataFrame([(k, f"some words {k} and more of them, " * (40 + 3 * k), "x") for k in range(9)], "doc_id long, text string, lang string")
+    whole = key(tuple(r) for r in quality.judge(d).collect())
+    rows = d.select(quality.F.lit(1).alias("g"), "doc_id", quality.F.lit(0).alias("tie"), quality.bytes_of("text").alias("body"))
+    batch = rows.toArrow().combine_chunks().to_batches()[0]
+    one = [np.concatenate(x) for x in zip(*quality._grams_of(batch), strict=True)]
+    monkeypatch.setattr(quality, "_CHUNK", 101)
+    many = [np.concatenate(x) for x in zip(*quality._grams_of(batch), strict=True)]
+    assert all((a == b).all() for a, b in zip(one, many, strict=True)) and len(whole) == 9
 
 
 def test_perplexity_rejects_noise_and_keeps_prose(spark):
@@ -205,7 +263,7 @@ def test_perplexity_band_follows_the_spread(spark):
     assert abs(half - quality.WIDTH * sigma) < quality.WIDTH * 1.5 * quality.STEP and half < 0.2
     assert all(lp[k] - np.median(lp) < 0.4 for k in range(164))
     assert all(rows[k].kept for k in range(160)) and not any(rows[k].kept or rows[k].base_failed for k in range(160, 164))
-    low = quality._bands([Row(lang="x", bucket=b, n=n) for b, n in ((1000, 1), (1480, 40), (1500, 90), (1520, 40), (1700, 2))], quality.WIDTH, quality.LEAST)
+    low = quality._bands([Row(g=7, bucket=b, n=n) for b, n in ((1000, 1), (1480, 40), (1500, 90), (1520, 40), (1700, 2))], quality.WIDTH, quality.LEAST)
     assert 1.0 < low[0][1] and low[0][2] < 1.7
 
 
