@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Writes the rows once to the shared checkpoint folder; spark.checkpoint.dir names it, a temporary one serves only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ringfold-"))
+    """Writes the rows once to the shared checkpoint folder that spark.checkpoint.dir names. Only a local session, as in tests, may do without and gets a temporary one."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ringfold-"))
     return df.checkpoint(eager=True)
 
 

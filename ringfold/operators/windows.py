@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringfold.operators.graph import settle
+
 
 def renumber(df: DataFrame, name: str, order: list[str | Column], keys: list[str] | None = None, start: int = 1) -> DataFrame:
     """Rows numbered from ``start`` in the order given, without gaps.
@@ -15,7 +17,8 @@ def renumber(df: DataFrame, name: str, order: list[str | Column], keys: list[str
     if keys:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + (start - 1))
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    place = ranged.withColumn("__k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    # settled, because ranges are sampled anew each time that they are computed
+    place = settle(ranged.withColumn("__k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = place.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
     return place.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__k") + start).drop("__p", "__k", "__b")

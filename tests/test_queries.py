@@ -2,8 +2,13 @@
 
 import datetime
 import glob
+import json
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -58,13 +63,12 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_without_the_subpackage():
-    """The other queries are there when the llm folders are not."""
-    import importlib.util as util
-
-    real = util.find_spec
-    try:
-        util.find_spec = lambda name, *a: None if name.startswith("ringfold.llm") or name == "corpus_pipeline" else real(name, *a)
-        assert set(entry.queries()) == set(CORE) and not any(n.startswith("op") and n[2].isdigit() for n in entry.oracle_sql())
-    finally:
-        util.find_spec = real
+def test_without_the_subpackage(tmp_path):
+    """The entry imports, and the other queries are there, in a copy without the llm folders; whether or not the pipeline's module is left."""
+    top = Path(entry.__file__).resolve().parent
+    for k, left_out in enumerate((("llm",), ("llm", "corpus_pipeline.py"))):
+        copy = tmp_path / str(k)
+        shutil.copytree(top, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", *left_out))
+        code = "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True).stdout
+        assert json.loads(out.splitlines()[-1]) == [sorted(CORE), sorted(set(CORE) & set(ORACLES))]

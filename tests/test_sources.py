@@ -45,8 +45,13 @@ def test_parameters(spark, tmp_path):
 
 def test_profiles(spark, tmp_path):
     p = spark.createDataFrame([(2.0, 5.0, 1.0), (1.0, 4.0, 2.0)], "x double, y double, s double")
-    tables.write_profile(p, str(tmp_path / "a"), "x", "y", "s", "fxye")
-    assert [r.value.split()[0] for r in spark.read.text(str(tmp_path / "a")).collect()] == ["100.00000000", "200.00000000"]
+    tables.write_profile_text(p, str(tmp_path / "a.fxye"), "fxye", "x", "y", "s", "a title", notes=("made here",))
+    lines = (tmp_path / "a.fxye").read_text().split("\n")
+    # the title first, notes before the BANK line, or readers stop at them
+    assert lines[0].rstrip() == "a title" and lines[1] == "# made here" and lines[2] == "BANK 1 2 2 CONST 100.00000 100.00000 0 0 FXYE"
+    assert [x.split()[0] for x in lines[3:5]] == ["100.00000", "200.00000"]
+    with pytest.raises(ValueError):
+        tables.write_profile_text(p, str(tmp_path / "b"), "xye", "x", "y")
 
 
 def test_ledger_runs_once(spark, tmp_path):
