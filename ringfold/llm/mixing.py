@@ -7,8 +7,8 @@ document, and for the fractional rest the documents with the smallest seeded has
 which the last is taken in part, so that the source's words come to the rounded target.
 
 Rows: a null text has size 0; a null source is a source of its own, the last. Rows alike in
-every column are tied and share one seeded position: they are ranked by document id, and
-copies of one row that stand at the edge are taken alike as far as the rest goes. A source
+doc_id and text share one seeded position: where the rest ends among such rows, each gets the
+same number of words, so that at most one word less than there are such rows isn't taken. A source
 of size 0 has target 0. An empty table gives no rows.
 """
 
@@ -17,8 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringfold.llm.shared import settled
+
 WORD = r"[^\x20\x09-\x0D]+"
-SLICES = 4096
+#: Sources whose plans are broadcast, about 100 bytes each; beyond it rows are joined with them by a shuffle.
+SOURCES = 100_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -55,49 +58,69 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
     return leveled.select("source", "source_size", target.alias("target"))
 
 
-def taken_words(sized: DataFrame, targets: DataFrame, seed: int = 17, parts: bool = False) -> DataFrame:
-    """Adds source_size, target and taken. ``sized``: (doc_id, source, size, tie), any further columns stay.
+def _spot(seed: int) -> Column:
+    """A row's seeded position, 63 bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("tie")), 1)
+
 
-    With ``parts``, __whole (whole repetitions) and __extra (words beyond them) stay too.
+def plan(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+    """(source, source_size, target, whole, cut, share), a row for each source: whole repetitions for every document, one more for those before the position ``cut``, and ``share`` words of each row that stands there.
 
     The fractional rest is cut off at an exact place without sorting a source in one task:
-    words are summed over slices of the hash's range, the sums of the slices give the slice
-    where the rest ends, and only that slice's documents are ranked.
+    words are summed over slices of the positions' range, the sums give the slice where the
+    rest ends, and only that slice's positions are put in order.
     """
-    spot = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("tie"))
-    docs = sized.withColumn("__spot", spot).withColumn("__slice", F.shiftrightunsigned("__spot", 52))
-    goal = targets.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long").alias("__whole"))
-    goal = goal.withColumn("__rest", (F.round("target") - F.col("__whole") * F.col("source_size")).cast("long"))
-    by_slice = docs.groupBy("source", "__slice").agg(F.sum("size").alias("__words"))
-    order = Window.partitionBy("source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    goal_at = goal.select(F.col("source").alias("__s"), F.col("source_size"), "target", "__whole", "__rest")
-    plan = (
-        by_slice.withColumn("__before", F.coalesce(F.sum("__words").over(order), F.lit(0)))
-        .join(goal_at, F.col("source").eqNullSafe(F.col("__s")))
-        .drop("__s")
-        .select(
-            F.col("source").alias("__s"), F.col("__slice").alias("__l"), "source_size", "target", "__whole",
-            (F.col("__rest") - F.col("__before")).alias("__left"),
-            (F.col("__rest") >= F.col("__before") + F.col("__words")).alias("__inside"),
-        )
+    goal = targets.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"))
+    goal = goal.withColumn("rest", (F.round("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    docs = sized.where("size > 0").select(F.col("source").alias("s"), "size", _spot(seed).alias("spot")).withColumn("slice", F.shiftright("spot", 51))
+    by_slice = docs.groupBy("s", "slice").agg(F.sum("size").alias("words"))
+    few = targets.count() <= SOURCES
+
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows
+
+    upto = Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    edges = (
+        by_slice.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+        .join(small(goal.select(F.col("source").alias("t"), "rest")), F.col("s").eqNullSafe(F.col("t")))
+        .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
+        .select(F.col("s").alias("t"), F.col("slice").alias("edge"), (F.col("rest") - F.col("before")).alias("left"))
+    )
+    inside = docs.join(small(edges), F.col("s").eqNullSafe(F.col("t")) & (F.col("slice") == F.col("edge")))
+    places = inside.groupBy("s", "spot").agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.min("left").alias("left"))
+    within = Window.partitionBy("s").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = (
+        places.withColumn("owed", F.col("left") - F.coalesce(F.sum("words").over(within), F.lit(0)))
+        .where((F.col("owed") >= 0) & (F.col("owed") < F.col("words")))
+        .select(F.col("s").alias("t"), F.col("spot").alias("cut"), F.floor(F.col("owed") / F.col("rows")).cast("long").alias("share"))
     )
-    joined = docs.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__l"))).drop("__s", "__l")
-    edge = ~F.col("__inside") & (F.col("__left") > 0)
-    within = Window.partitionBy("source", "__slice").orderBy("__spot", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__left") - F.coalesce(F.sum("size").over(within), F.lit(0))))
-    # only the slices where the rest ends are ranked; all other rows go on as they are
-    plain = joined.where(~edge).withColumn("__extra", F.when(F.col("__inside"), F.col("size")).otherwise(0))
-    done = plain.unionByName(joined.where(edge).withColumn("__extra", last))
-    return done.withColumn("taken", (F.col("__whole") * F.col("size") + F.col("__extra")).cast("long")).drop("__spot", "__slice", "__left", "__inside", *([] if parts else ["__whole", "__extra"]))
-
-
-def mixed(docs: DataFrame, seed: int = 17, **goal) -> DataFrame:
-    """The mixture itself, with the columns of docs: every document as often as it is taken; one taken in part has its first words, joined by one space."""
-    names = docs.columns
-    sized = docs.withColumns({"size": word_count("text"), "tie": F.xxhash64("text")}) if not {"size", "tie"} & set(names) else None
-    if sized is None:
-        raise ValueError("columns named size or tie clash with the mixture's own")
-    taken = taken_words(sized, source_targets(sized.select("source", "size"), **goal), seed, parts=True)
+    return goal.join(small(cuts), F.col("source").eqNullSafe(F.col("t")), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"), F.coalesce("share", F.lit(0)).alias("share"))
+
+
+def taken_words(sized: DataFrame, plans: DataFrame, seed: int = 17, parts: bool = False) -> DataFrame:
+    """Adds source_size, target and taken. ``sized``: (doc_id, source, size, tie), any further columns stay; ``plans`` as ``plan`` makes them.
+
+    With ``parts``, __whole (whole repetitions) and __extra (words beyond them) stay too. A
+    row's share follows from its own source's plan, so rows are never moved.
+    """
+    at = plans.select(F.col("source").alias("__s"), "source_size", "target", F.col("whole").alias("__whole"), F.col("cut").alias("__cut"), F.col("share").alias("__share"))
+    few = plans.count() <= SOURCES
+    joined = sized.withColumn("__spot", _spot(seed)).join(F.broadcast(at) if few else at, F.col("source").eqNullSafe(F.col("__s")))
+    extra = F.when(F.col("__spot") < F.col("__cut"), F.col("size")).when(F.col("__spot") == F.col("__cut"), F.least("__share", "size")).otherwise(0)
+    done = joined.withColumn("__extra", extra).withColumn("taken", (F.col("__whole") * F.col("size") + F.col("__extra")).cast("long"))
+    return done.drop("__s", "__spot", "__cut", "__share", *([] if parts else ["__whole", "__extra"]))
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, tie) of each row, read and counted once; without texts."""
+    return settled(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("tie")))
+
+
+def _mixed(docs: DataFrame, seed: int = 17, **goal) -> DataFrame:
+    """Every document as often as it is taken; one taken in part has its first words, joined by one space."""
+    names, sized = docs.columns, sizes(docs)
+    plans = settled(plan(sized, source_targets(sized, **goal), seed))
+    taken = taken_words(docs.withColumns({"size": word_count("text"), "tie": F.xxhash64("text")}), plans, seed, parts=True)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     times = (F.col("__whole") + F.when((F.col("__extra") >= F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("int")
     part = F.when((F.col("__extra") > 0) & (F.col("__extra") < F.col("size")), F.array(F.array_join(F.slice(words, 1, F.col("__extra").cast("int")), " "))).otherwise(F.array().cast("array<string>"))
@@ -106,8 +129,8 @@ def mixed(docs: DataFrame, seed: int = 17, **goal) -> DataFrame:
 
 
 def mixture(docs: DataFrame, seed: int = 17, **goal) -> DataFrame:
-    """The same for documents with any further columns: those go through ``mixed`` under private names, so that none clashes with the mixture's own."""
+    """The mixture itself, with the columns of docs; further columns go through under private names, so that none clashes with the mixture's own."""
     own = {"doc_id", "text", "source"}
     private = {c: c if c in own else f"__kept{k}" for k, c in enumerate(docs.columns)}
     hidden = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in private.items()])
-    return mixed(hidden, seed, **goal).select(*[F.col(p).alias(c) for c, p in private.items()])
+    return _mixed(hidden, seed, **goal).select(*[F.col(p).alias(c) for c, p in private.items()])

@@ -16,8 +16,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 3, 1, 2 and 150 % of all words, at most two epochs of each."""
-    sized = _documents(spark, sf_dir).select("doc_id", "source", mixing.word_count("text").alias("size"), F.xxhash64("text").alias("tie"))
-    mixed = mixing.taken_words(sized, mixing.source_targets(sized))
+    sized = mixing.sizes(_documents(spark, sf_dir))
+    mixed = mixing.taken_words(sized, mixing.settled(mixing.plan(sized, mixing.source_targets(sized))))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Sets the checkpoint folder from spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
+    """Sets the checkpoint folder from spark.checkpoint.dir. Only a local session, as in tests, may do without and gets a temporary folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ringfold-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ringfold-"))
     return spark
 
 
