@@ -449,7 +449,7 @@ def seed_orientations(t: Tables) -> DataFrame:
     path = f"{folder(t.spark, 'seeds')}/seeds.csv"
     n = F.sqrt(sum((F.col(f"w{k}") * F.col(f"w{k}") for k in range(4)), F.lit(0.0)))
     quats = grains(t).select("grain", *[(F.col(f"w{k}") / n).alias(f"q{k}") for k in range(4)])
-    tables.write_lines(quats.orderBy("grain").select(F.format_string("%.9f,%.9f,%.9f,%.9f", "q0", "q1", "q2", "q3").alias("value")), path)
+    tables.write_lines(quats.orderBy("grain").select(F.format_string("%.12f,%.12f,%.12f,%.12f", "q0", "q1", "q2", "q3").alias("value")), path)
     return rounded(tables.read_table(t.spark, path, "q0 q1 q2 q3", least=4))
 
 
