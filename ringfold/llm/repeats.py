@@ -9,11 +9,12 @@ later windows, merged, are the maximal repeats.
 
 Blocks, probes and windows never travel as rows. A slice of documents sends one blob to each
 bucket of the hash's range: 4 bytes of hash for a probe (a false meeting only costs a look,
-buckets grow with the data), 8 for a window, and the packed positions. Buckets are read one
+buckets grow with the data), 12 for a window, and the packed positions. Buckets are read one
 by one, in numpy, and what they find goes back in the same form to the documents' buckets.
 A passage that many documents share is a long run in one bucket's sort, nothing more.
-Window hashes have 64 bits; texts of 10**9 repeated windows are expected to meet by chance
-less than once.
+Windows count as equal if two hashes of their words agree, one modulo 2**64 and one modulo the
+prime 2**31 - 1, 95 bits in all: of 10**12 different windows, two meet by chance once in
+40,000 corpora, and words made to collide in one of the hashes don't in the other.
 
 Rows: null and wordless texts have no words, and kept text "". Rows alike in doc_id and text
 are one document, and each gets its result. Rows with one doc_id and several texts follow a
@@ -31,8 +32,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringfold.llm.text import buffers, bytes_of, partitions, ranges, slices, window_hashes, word_hashes, words
+from ringfold.llm.text import buffers, bytes_of, partitions, prime_windows, prime_words, ranges, slices, window_hashes, word_hashes, words
 
+#: Text of a bucket, about; a task holds one bucket at a time, in about ten times that.
+BUCKET_BYTES = 32 << 20
+#: The place of rows without a doc_id among ids; the largest id itself comes just before it, told apart by the tie.
 _NO_ID = np.iinfo(np.int64).max
 _OUT = "bucket int, blob binary"
 
@@ -63,8 +67,8 @@ class Entries:
             yield int(bucket[a]), struct.pack("<III", len(at), b - a, len(meta)) + meta + (b"" if hashes is None else hashes[a:b].tobytes())
 
     @classmethod
-    def of(cls, blobs: list[bytes], width: int) -> Entries:
-        """All places of these blobs; ``width`` bytes of hash each, or 0. doc counts over the blobs' lists of documents."""
+    def of(cls, blobs: list[bytes], kind: np.dtype | None) -> Entries:
+        """All places of these blobs, with hashes of that kind or none. doc counts over the blobs' lists of documents."""
         unpack = zstandard.ZstdDecompressor()
         ids, ties, doc, pos, hashes, n = [], [], [], [], [], 0
         for blob in blobs:
@@ -77,12 +81,12 @@ class Entries:
             first = np.cumsum(counts) - counts
             pos.append(total - np.repeat(np.where(first > 0, total[first - 1], 0), counts))
             doc.append(np.repeat(np.arange(n, n + docs, dtype=np.int64), counts))
-            if width:
-                hashes.append(np.frombuffer(blob, f"<u{width}", places, 12 + size))
+            if kind is not None:
+                hashes.append(np.frombuffer(blob, kind, places, 12 + size))
             n += docs
         if not blobs:
-            return cls(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u8") if width else None)
-        return cls(np.concatenate(ids), np.concatenate(ties), np.concatenate(doc), np.concatenate(pos), np.concatenate(hashes) if width else None)
+            return cls(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), None if kind is None else np.zeros(0, kind))
+        return cls(np.concatenate(ids), np.concatenate(ties), np.concatenate(doc), np.concatenate(pos), None if kind is None else np.concatenate(hashes))
 
     def to_documents(self, keep: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
         """The places ``keep``, for the buckets of their documents."""
@@ -113,24 +117,24 @@ def _rows(pairs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-def _each_bucket(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Entries]:
+def _each_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[Entries]:
     """The places of one bucket after the other; rows come sorted by bucket."""
     now, held = None, []
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if held and b != now:
-                yield Entries.of(held, width)
+                yield Entries.of(held, kind)
                 held = []
             now = b
             held.append(blob)
     if held:
-        yield Entries.of(held, width)
+        yield Entries.of(held, kind)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NO_ID))).alias("ord"),
-        F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), bytes_of("text").alias("body"),
+        F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.when(F.col("doc_id").isNull(), 1 << 31).otherwise(0)).alias("tie"), bytes_of("text").alias("body"),
     )
 
 
@@ -153,7 +157,7 @@ def _anchors(probes: DataFrame, block: int, parts: int) -> DataFrame:
     """Places whose hash a block has and another place too, for the documents' buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for e in _each_bucket(batches, 4):
+        for e in _each_bucket(batches, np.dtype("<u4")):
             order = np.argsort(e.hashes, kind="stable")
             h = e.hashes[order]
             cuts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -166,7 +170,7 @@ def _anchors(probes: DataFrame, block: int, parts: int) -> DataFrame:
 
 def _matched(found: pa.Table, ids: np.ndarray, ties: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Indices, among all words of the bucket's documents, of the places found; a repeated row gets them each time."""
-    e = Entries.of(found.column("blob").to_pylist(), 0)
+    e = Entries.of(found.column("blob").to_pylist(), None)
     if not len(e.pos):
         return e.pos
     keys = np.rec.fromarrays([ids, ties.astype(np.int64)])
@@ -179,6 +183,9 @@ def _matched(found: pa.Table, ids: np.ndarray, ties: np.ndarray, first: np.ndarr
     return np.repeat(first[:-1], many) + e.pos[order[ranges(begin, many)]]
 
 
+_PAIR = np.dtype([("wide", "<u8"), ("prime", "<u4")])
+
+
 def _windows(docs: DataFrame, anchors: DataFrame, window: int, block: int, parts: int) -> DataFrame:
     """Every window that holds an anchor, dealt by hash."""
 
@@ -196,8 +203,10 @@ def _windows(docs: DataFrame, anchors: DataFrame, window: int, block: int, parts
         h, at = window_hashes(word_hashes(buf, start, end), first, window)
         use = np.cumsum(near)[at] > 0
         h, at = h[use], at[use]
+        both = np.empty(len(h), _PAIR)
+        both["wide"], both["prime"] = h, prime_windows(prime_words(buf, start, end), at, window)
         doc = np.searchsorted(first, at, "right") - 1
-        places = Entries(ids, ties, doc, at - first[doc], h.astype("<u8"))
+        places = Entries(ids, ties, doc, at - first[doc], both)
         out = list(_rows(places.blobs(((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64))))
         return pa.Table.from_batches(out) if out else none
 
@@ -208,11 +217,11 @@ def _later(windows: DataFrame, parts: int) -> DataFrame:
     """Windows that also start earlier, for the documents' buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for e in _each_bucket(batches, 8):
+        for e in _each_bucket(batches, _PAIR):
             id_, tie = e.ids[e.doc], e.ties[e.doc]
-            order = np.lexsort((e.pos, tie, id_, e.hashes))
+            order = np.lexsort((e.pos, tie, id_, e.hashes["prime"], e.hashes["wide"]))
             h, id_, tie, pos = e.hashes[order], id_[order], tie[order], e.pos[order]
-            new = np.append(True, h[1:] != h[:-1])
+            new = np.append(True, (h["wide"][1:] != h["wide"][:-1]) | (h["prime"][1:] != h["prime"][:-1]))
             top = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (id_ != id_[top]) | (tie != tie[top]) | (pos != pos[top])
             yield from _rows(e.to_documents(order[later], parts))
@@ -220,9 +229,15 @@ def _later(windows: DataFrame, parts: int) -> DataFrame:
     return windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _OUT)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+def _parts(docs: DataFrame, most: int) -> int:
+    """Buckets: as many as the session has shuffle partitions, and so many at least that none gets more than about ``most`` bytes of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs), -(-size // most))
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, repeats, kept) for each row: ``repeats`` are the maximal runs of words removed, [start, stop), ``kept`` the other words joined by one space."""
-    block, parts = (window + 1) // 2, partitions(docs)
+    block, parts = (window + 1) // 2, _parts(docs, bucket_bytes)
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         buf, off = buffers(rows.column("body"))

@@ -6,6 +6,7 @@ and carriage return; that is the pattern ``[^\\x20\\x09-\\x0D]+`` on UTF-8.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,6 +147,61 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     return mix((total[at + size] - total[at]) * down[at]), at
 
 
+_PRIME = (1 << 31) - 1
+
+
+class _Residues:
+    """Powers of a base and of its inverse modulo the prime, for one segment's places."""
+
+    def __init__(self, base: int):
+        self.base = base % _PRIME
+        self.up, self.down = (self._powers(x) for x in (self.base, pow(self.base, -1, _PRIME)))
+
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        out = np.ones(1, np.uint64)
+        while len(out) < _SEGMENT:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), _PRIME)) % np.uint64(_PRIME)])
+        return out[:_SEGMENT]
+
+    def sums(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each span [start, end), in rising order, the sum of (value + 1) * base ** place modulo the prime, places from 0."""
+        p, out, at = np.uint64(_PRIME), np.empty(len(start), np.uint64), 0
+        while at < len(start):
+            a = int(start[at])
+            to = int(np.searchsorted(end, a + _SEGMENT, "right"))
+            if to <= at:
+                total = 0
+                for k in range(a, int(end[at]), _SEGMENT):
+                    part = values[k : min(k + _SEGMENT, int(end[at]))].astype(np.uint64) + np.uint64(1)
+                    total += int((part * self.up[: len(part)] % p).sum()) * pow(self.base, k - a, _PRIME)
+                out[at], at = total % _PRIME, at + 1
+                continue
+            b = int(end[to - 1])
+            total = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((values[a:b].astype(np.uint64) + np.uint64(1)) * self.up[: b - a] % p, out=total[1:])
+            s, e = start[at:to] - a, end[at:to] - a
+            out[at:to] = (total[e] - total[s]) % p * self.down[s] % p
+            at = to
+        return out
+
+
+@functools.cache
+def _residues(base: int) -> _Residues:
+    return _Residues(base)
+
+
+def prime_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Another hash of each word's bytes, modulo the prime 2**31 - 1."""
+    lengths = (end - start).astype(np.uint64) % np.uint64(_PRIME)
+    return (_residues(0x2F0B4C47).sums(buf, start, end) * np.uint64(48271) + lengths) % np.uint64(_PRIME)
+
+
+def prime_windows(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Another hash of the windows of ``size`` words that begin at ``at``, modulo the prime."""
+    return _residues(0x5DEECE6D).sums(hashes, at, at + size).astype(np.uint32)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices of all ranges [start, start + length), one after the other."""
     total = int(lengths.sum())
