@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def at(array: Column, k: int) -> Column:
     return F.get(array, F.lit(k))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def micros(time: Column | str) -> Column:
     """Microseconds since the epoch of a timestamp with or without zone (without: as UTC, whatever the session's zone)."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col(time).cast("timestamp_ntz"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringfold.functions.columns import col, wrap
@@ -107,3 +107,28 @@ def flip(y: Column, z: Column, n_y: int, n_z: int, steps: list[int]) -> tuple[Co
         elif step:
             raise ValueError(f"unknown image operation {step}")
     return y, z, n_y, n_z
+
+
+def vector_edges(number: Column, least: float, step: float, wavelength: float, distance: float) -> tuple[Column, Column]:
+    """Radii of the lower and upper edge of bin ``number`` of an even grid of scattering vectors."""
+    import math
+
+    def radius(q: Column) -> Column:
+        return distance * F.tan(2 * F.asin(F.least(q * wavelength / (4 * math.pi), F.lit(1.0))))
+
+    return radius(least + step * number), radius(least + step * number + step)
+
+
+def hexagonal_grid(spark: SparkSession, spacing: float, radius: float) -> DataFrame:
+    """(line, place, x, y): centres of the triangles, alternately pointing up and down, of a hexagon that covers a disk."""
+    import math
+
+    n = math.ceil(2 * radius / math.sqrt(3) / spacing)
+    height = math.sqrt(3) * spacing / 2
+    lines = spark.range(-n, n + 1).where("id <> 0").select(F.col("id").alias("line"))
+    cells = lines.select("line", F.explode(F.sequence(F.lit(0).cast("long"), 2 * (2 * n - F.abs("line")))).alias("place"))
+    down = F.col("line") < 0
+    far = (F.col("place") % 2 == 0) == down
+    x = -spacing * n + F.abs("line") * spacing / 2 + F.when(down, spacing / 2).otherwise(0.0) + spacing * F.col("place") / 2
+    y = height * F.col("line") - F.signum("line") * height * F.when(far, F.lit(2.0) / 3).otherwise(F.lit(1.0) / 3)
+    return cells.select("line", "place", x.alias("x"), y.alias("y"))

@@ -129,3 +129,10 @@ def fundamental(q: Column, laue: str) -> Column:
     """The symmetric equivalent nearest the identity."""
     options = F.transform(symmetry_column(laue), lambda s: normalised(multiply(q, s)))
     return F.get(F.array_sort(options, lambda a, b: F.when(F.get(a, F.lit(0)) > F.get(b, F.lit(0)), -1).when(F.get(a, F.lit(0)) < F.get(b, F.lit(0)), 1).otherwise(0)), F.lit(0))
+
+
+def about_z(degrees: Column) -> Column:
+    """Matrix, by rows, of a turn about z."""
+    c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array(c, -s, zero, s, c, zero, zero, zero, one)

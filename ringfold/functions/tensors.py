@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringfold.functions.columns import at, col, total
+from ringfold.functions.columns import at, bound, col, total
 
 
 def product(a: Column, b: Column) -> Column:
@@ -47,7 +47,7 @@ def inverse(a: Column) -> Column:
 
 def rotated(t: Column, r: Column) -> Column:
     """r t r^T."""
-    return product(product(r, t), transposed(r))
+    return bound(r, lambda m: bound(product(m, t), lambda half: product(half, transposed(m))))
 
 
 def to_voigt(t: Column, shear: float = 1.0) -> Column:
@@ -82,8 +82,10 @@ def d_spacing(h: Column, k: Column, l: Column, a: Column, b: Column, c: Column,
 
 def lattice_strain(strained: Column, reference: Column) -> Column:
     """Small strain between two cell matrices: the symmetric part of strained * reference^-1, less one."""
-    f = product(strained, inverse(reference))
-    return F.array(*[(at(f, 3 * i + j) + at(f, 3 * j + i)) / 2 - float(i == j) for i in range(3) for j in range(3)])
+    def strain(f: Column) -> Column:
+        return F.array(*[(at(f, 3 * i + j) + at(f, 3 * j + i)) / 2 - float(i == j) for i in range(3) for j in range(3)])
+
+    return bound(reference, lambda r: bound(inverse(r), lambda i: bound(strained, lambda s: bound(product(s, i), strain))))
 
 
 def hooke(strain: Column, c11: float, c12: float, c44: float) -> Column:
@@ -144,3 +146,14 @@ def sphere_form(q: Column | str, radius: Column | str) -> Column:
     x = col(q) * col(radius)
     f = 3 * (F.sin(x) - x * F.cos(x)) / F.pow(x, 3)
     return F.when(F.abs(x) < 1e-6, 1.0).otherwise(f * f)
+
+
+def sine_transform(profile: DataFrame, grid: DataFrame, step: float, most: float | None = None) -> DataFrame:
+    """(r, g, sigma) on a grid (r) from a structure factor (q, s, e): 2 / pi times the sum of q (s - 1) sin(q r) step, and its deviation from those of s. With ``most``, vectors beyond it are left out and the others damped by sin(x) / x, x = pi q / most."""
+    x = math.pi * F.col("q") / most if most else None
+    window = F.when(x == 0, 1.0).otherwise(F.sin(x) / x) if most else F.lit(1.0)
+    kernel = F.col("q") * F.sin(F.col("q") * F.col("r")) * window
+    points = profile.where(F.col("q") <= most) if most else profile
+    met = points.crossJoin(F.broadcast(grid)).withColumn("__k", kernel)
+    scale = 2 / math.pi * step
+    return met.groupBy("r").agg((scale * F.sum((F.col("s") - 1) * F.col("__k"))).alias("g"), (scale * F.sqrt(F.sum(F.pow(F.col("__k") * F.col("e"), 2)))).alias("sigma"))

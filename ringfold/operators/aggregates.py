@@ -166,15 +166,20 @@ def multiple_of_mean_cut(df: DataFrame, residual: str, factor: float, rounds: in
     return kept
 
 
-def bootstrap(df: DataFrame, key: str, value: str, draws: int = 100, seed: int = 1) -> DataFrame:
-    """(p16, p50, p84) of the mean over resamples: a row's number of draws in a resample is Poisson(1) by its hash, so no row is drawn on the driver."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("b"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+def poisson_draws(hashed: Column) -> Column:
+    """A Poisson(1) number by a 64-bit hash, eight at most."""
+    u = (F.pmod(hashed, F.lit(1 << 52)) + 0.5) / float(1 << 52)
     steps, total, p = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 9):
         total += p
         steps = steps + F.when(u > total, 1).otherwise(0)
         p /= k
-    drawn = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b")).withColumn("w", steps)
+    return steps
+
+
+def bootstrap(df: DataFrame, key: str, value: str, draws: int = 100, seed: int = 1) -> DataFrame:
+    """(p16, p50, p84) of the mean over resamples: a row's number of draws in a resample is Poisson(1) by its hash, so no row is drawn on the driver."""
+    drawn = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b")).withColumn("w", poisson_draws(F.xxhash64(F.col(key), F.col("b"), F.lit(seed))))
     means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
     return means.agg(*[F.percentile("m", q).alias(n) for q, n in ((0.16, "p16"), (0.5, "p50"), (0.84, "p84"))])
 

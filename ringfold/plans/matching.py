@@ -232,12 +232,12 @@ def _components_sql(edges: str) -> str:
 
 
 @queries.add(f"""
-    WITH RECURSIVE s AS (SELECT * FROM {SPOTS_SQL}), e AS (SELECT a.spot AS a, b.spot AS b FROM s a JOIN s b ON a.scan = b.scan + 1 AND a.ring = b.ring AND abs(a.y - b.y) < 8 AND abs(a.z - b.z) < 90 AND abs(a.omega - b.omega) < 25),
+    WITH RECURSIVE s AS (SELECT * FROM {SPOTS_SQL}), e AS (SELECT a.spot AS a, b.spot AS b FROM s a JOIN s b ON a.scan = b.scan + 1 AND a.ring = b.ring AND abs(a.y - b.y) < 8 AND abs(a.z - b.z) * 0.09375 < 8 AND abs(a.omega - b.omega) < 25),
     {_components_sql('SELECT a, b FROM e')} SELECT spot, coalesce(component, spot) AS chain FROM s LEFT JOIN parts_ ON n = spot""")
 def merged_scans(t: Tables) -> DataFrame:
     """Spots of neighbouring scans that are one: each within tolerances of one in the scan before."""
     # z is compared on the scale of y
-    s = spots(t).withColumn("z", F.col("z") * (8.0 / 90.0))
+    s = spots(t).withColumn("z", F.col("z") * 0.09375)
     return matching.chained_scans(s, "spot", "scan", "ring", "y", "z", "omega", 8.0, 25.0)
 
 

@@ -35,24 +35,36 @@ def integrated(stream: DataFrame, bins: DataFrame, out: str, checkpoint: str, fr
 
 
 def chains(stream: DataFrame, key: str, time: str, value: str, gap: float) -> DataFrame:
-    """(key, first, last, rows, total) of each chain that a gap or the end of its state's time closes, over a stream; rows of a key come in the order of time."""
+    """(key, first, last, rows, total) of each chain over a stream; a gap ends a chain. Rows of a key come in the order of time.
+
+    Every batch also gives the chain that is still open as far as it goes, so that none is
+    missing when the stream ends; a later row of the same key and first supersedes it, see
+    ``latest_chains``.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         first, last, rows, total = state.get if state.exists else (None, None, 0, 0.0)
-        closed = []
+        made = []
         for x, v in sorted((x, v) for b in batches for x, v in zip(b[time], b[value], strict=True)):
             if last is not None and x - last > gap:
-                closed.append((k[0], first, last, rows, total))
+                made.append((k[0], first, last, rows, total))
                 first, rows, total = None, 0, 0.0
             first, last, rows, total = (x if first is None else first), x, rows + 1, total + v
         if rows:
             state.update((first, last, rows, total))
-        yield pd.DataFrame(closed, columns=[key, "first", "last", "rows", "total"])
+            made.append((k[0], first, last, rows, total))
+        yield pd.DataFrame(made, columns=[key, "first", "last", "rows", "total"])
 
     kind = dict(stream.dtypes)[key]
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first double, last double, rows long, total double", "first double, last double, rows long, total double", "append", "NoTimeout")
 
 
+def latest_chains(written: DataFrame, key: str) -> DataFrame:
+    """Each chain as it was last given."""
+    best = written.groupBy(key, "first").agg(F.max(F.struct("rows", "last", "total")).alias("m"))
+    return best.select(key, "first", "m.last", "m.rows", "m.total")
+
+
 def run_once(spark: SparkSession, ledger: str, stage: str, inputs: str, out: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The stage's output, made only if the ledger has no row of that stage and inputs (a digest)."""
     from pyspark.errors import AnalysisException
