@@ -190,8 +190,8 @@ def candidate_orientations(seeds: DataFrame, g: str, hkl: str, step: float) -> D
     cross = F.array(*[F.col("__a")[(k + 1) % 3] * F.col("__b")[(k + 2) % 3] - F.col("__a")[(k + 2) % 3] * F.col("__b")[(k + 1) % 3] for k in range(3)])
     aside = F.when(F.abs(F.col("__a")[0]) < 0.9, F.array(F.lit(0.0), F.lit(0.0), F.col("__a")[2], -F.col("__a")[1])).otherwise(F.array(F.lit(0.0), -F.col("__a")[2], F.lit(0.0), F.col("__a")[0]))
     first = F.when(F.col("__d") < -1 + 1e-12, aside).otherwise(F.concat(F.array(1 + F.col("__d")), cross))
-    turns = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(360 / step) - 1)))
-    every = both.withColumn("__f", rotations.normalised(first)).withColumn("turn", turns * F.lit(float(step)))
+    turns = F.explode(F.transform(F.sequence(F.lit(0), F.lit(math.ceil(360 / step) - 1)), lambda n: n * float(step)))
+    every = both.withColumn("__f", bound(first, rotations.normalised)).withColumn("turn", turns)
     half = F.radians(F.col("turn") / 2)
     about = F.concat(F.array(F.cos(half)), F.transform("__b", lambda x: x * F.sin(half)))
     return every.withColumn("q", bound(about, lambda p: rotations.multiply(p, F.col("__f")))).drop("__a", "__b", "__d", "__f")
