@@ -33,11 +33,11 @@ def band_membership(t: Tables) -> DataFrame:
     FROM m JOIN lineitem ON l_partkey = p_partkey GROUP BY band""")
 def band_statistics(t: Tables) -> DataFrame:
     """Price bands with half-widths, and weighted statistics of the parts' line items in each (mean intensity for each ring)."""
-    met = joins.band_join(t.part, _bands(t), "p_retailprice", "centre", 60.0)
-    items = met.join(t.lineitem, met.p_partkey == F.col("l_partkey"))
-    return items.groupBy("band").agg(
-        F.count("*").alias("n_parts"), F.round(F.sum("l_extendedprice") / F.count_distinct("p_partkey"), 4).alias("mean_revenue"),
-        F.round(F.sum(F.col("l_quantity") * F.col("l_extendedprice")) / F.sum("l_quantity"), 4).alias("weighted_price"), F.max("p_size").alias("largest"))
+    # line items are summed by part first, so that what is joined with the bands is a row for each part
+    by_part = t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("price"), F.sum("l_quantity").alias("quantity"), F.sum(F.col("l_quantity") * F.col("l_extendedprice")).alias("both"))
+    met = joins.band_join(t.part.join(by_part, F.col("p_partkey") == F.col("l_partkey")), _bands(t), "p_retailprice", "centre", 60.0)
+    return met.groupBy("band").agg(
+        F.sum("n").alias("n_parts"), F.round(F.sum("price") / F.count("*"), 4).alias("mean_revenue"), F.round(F.sum("both") / F.sum("quantity"), 4).alias("weighted_price"), F.max("p_size").alias("largest"))
 
 
 @queries.add("""
