@@ -189,7 +189,11 @@ def nearest_reference(t: Tables) -> DataFrame:
     return joins.nearest_reference(t.part.select("p_partkey", "p_retailprice"), refs, "p_partkey", F.abs(F.col("p_retailprice") - F.col("place")), "ref").withColumn("cost", F.round("cost", 6))
 
 
-@queries.add()
+@queries.add("""
+    WITH RECURSIVE p AS (SELECT s_nationkey AS n, s_suppkey AS a, c_custkey AS b, abs(s_acctbal - c_acctbal) AS g FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) < 500), o AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY g, a, b) AS i FROM p),
+    w(n, i, used_a, used_b, hit) AS (SELECT DISTINCT n, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), FALSE FROM o UNION ALL
+        SELECT o.n, o.i, CASE WHEN list_contains(w.used_a, o.a) OR list_contains(w.used_b, o.b) THEN w.used_a ELSE list_append(w.used_a, o.a) END, CASE WHEN list_contains(w.used_a, o.a) OR list_contains(w.used_b, o.b) THEN w.used_b ELSE list_append(w.used_b, o.b) END, NOT (list_contains(w.used_a, o.a) OR list_contains(w.used_b, o.b)) FROM w JOIN o ON o.n = w.n AND o.i = w.i + 1)
+    SELECT o.n, o.a AS s_suppkey, o.b AS c_custkey, o.g AS gap FROM w JOIN o USING (n, i) WHERE hit""")
 def greedy_pairs(t: Tables) -> DataFrame:
     """Suppliers and customers of a nation paired cheapest first, each once."""
     return joins.greedy_assignment(_balance_pairs(t), "n", "s_suppkey", "c_custkey", "gap")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringfold.functions.columns import micros
-from ringfold.operators import graph, joins, sets, windows
+from ringfold.operators import graph, joins, sets, summaries, windows
 from ringfold.plans.registry import Registry, Tables
 
 queries = Registry()
@@ -233,14 +233,21 @@ def clusters(t: Tables) -> DataFrame:
     return graph.connected(_near_links(t), "a", "b")
 
 
-@queries.add()
+@queries.add(f"""
+    WITH RECURSIVE g AS ({_NEAR}), l AS (SELECT b, list(a ORDER BY a) AS low FROM g GROUP BY b), n AS (SELECT label, vec_id, coalesce(low, []) AS low, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings LEFT JOIN l ON b = vec_id),
+    w(label, i, vec_id, kept, leader) AS (SELECT DISTINCT label, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) FROM embeddings UNION ALL
+        SELECT n.label, n.i, n.vec_id, CASE WHEN list_has_any(w.kept, n.low) THEN w.kept ELSE list_append(w.kept, n.vec_id) END, coalesce(list_min(list_intersect(w.kept, n.low)), n.vec_id) FROM w JOIN n ON n.label = w.label AND n.i = w.i + 1)
+    SELECT vec_id, leader FROM w WHERE i > 0""")
 def leader_clusters(t: Tables) -> DataFrame:
-    """Greedy leaders within each label, larger norms first."""
-    e = t.embeddings.select("vec_id", "label", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("v"))
-    return graph.leaders(e, "label", "vec_id", [], "v", 0.05)
+    """Greedy leaders within each label, by id: one not yet taken takes all later ones near it."""
+    return summaries.first_leader(t.embeddings.select("vec_id"), _near_links(t).select("a", "b"), "vec_id", "vec_id")
 
 
-@queries.add()
+@queries.add(f"""
+    WITH RECURSIVE g AS (SELECT DISTINCT k.label, a, b FROM ({_NEAR}) JOIN embeddings k ON k.vec_id = a), e AS (SELECT label, a AS n, b AS m FROM g UNION SELECT label, b, a FROM g), d AS (SELECT label, n, list(m) AS near, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, n) AS i FROM e GROUP BY label, n),
+    w(label, i, taken, mine, anchor) AS (SELECT DISTINCT label, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) FROM d UNION ALL
+        SELECT d.label, d.i, CASE WHEN list_contains(w.taken, d.n) THEN w.taken ELSE list_concat(w.taken, [x FOR x IN list_append(d.near, d.n) IF NOT list_contains(w.taken, x)]) END, CASE WHEN list_contains(w.taken, d.n) THEN [] ELSE [x FOR x IN list_append(d.near, d.n) IF NOT list_contains(w.taken, x)] END, d.n FROM w JOIN d ON d.label = w.label AND d.i = w.i + 1)
+    SELECT label, unnest(mine) AS node, anchor AS family FROM w""")
 def anchor_families(t: Tables) -> DataFrame:
     """Families of an anchor and its direct neighbours."""
     return graph.anchor_families(_near_links(t).select("label", "a", "b"), "label", "a", "b")

@@ -91,7 +91,7 @@ def spot_budget(t: Tables) -> DataFrame:
 @queries.add()
 def greedy_coverage(t: Tables) -> DataFrame:
     """Suppliers of each return flag that add most parts, one after the other."""
-    return agg.coverage_budget(t.lineitem.where("l_quantity > 49"), "l_returnflag", "l_suppkey", "l_partkey", most=1, least_new=3)
+    return agg.coverage_budget(t.lineitem, "l_returnflag", "l_suppkey", "l_partkey", most=1, least_new=3)
 
 
 @queries.add("""
@@ -143,7 +143,9 @@ def stratified_trim(t: Tables) -> DataFrame:
     return agg.stratified_trim(t.events.withColumn("res", F.col("value") - 50), ["event_type"], "res", "event_id", 1.0, 10).select("event_id")
 
 
-@queries.add()
+@queries.add("""
+    WITH RECURSIVE r(k, lim, done) AS (SELECT 0, CAST(1e300 AS DOUBLE), FALSE UNION ALL SELECT k + 1, least(n.m, r.lim), n.m >= r.lim FROM r, LATERAL (SELECT 2 * avg(abs(value)) AS m FROM events WHERE abs(value) <= r.lim) n WHERE k < 100 AND NOT done)
+    SELECT event_id FROM events WHERE abs(value) <= (SELECT min(lim) FROM r)""")
 def multiple_cut(t: Tables) -> DataFrame:
     """Rows within a multiple of the mean of those kept, cut until stable."""
     return agg.multiple_of_mean_cut(t.events, "value", 2.0).select("event_id")
