@@ -3,6 +3,15 @@
 Quality rules drop documents, SimHash keeps one of each group of near-duplicates, personal
 data becomes pseudonyms, sources are mixed to their weights, and what is left is packed
 into sequences. Every stage works on all rows that it is given.
+
+Rows, in every stage: all columns come out as they went in, whatever their names, but for what
+the stage is there to change; an empty table gives an empty table. A null or wordless text
+fails the base rules, so no later stage meets one unless it is given one: near-duplicates has
+all such texts as one group, pseudonyms leaves them, the mixture takes none of their words (an
+empty document is copied as often as its source's whole epochs say), and packing gives them
+just the end id. Rows without a doc_id are told apart by their text. Rows alike in doc_id and
+text are one document to near-duplicates, of which one stays; to all other stages each is a
+row. Ties go to the smaller doc_id, then to the smaller hash of the text.
 """
 
 from __future__ import annotations
@@ -14,8 +23,8 @@ from ringfold.llm import idfiles, mixing, packing, pii, quality, simhash
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    """n_chars as the text now is."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else docs
+    """n_chars as the text now is, 0 for none."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else docs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

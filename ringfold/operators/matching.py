@@ -100,6 +100,8 @@ def greedy_mutual(current: DataFrame, new: DataFrame, group: str, order: str, ne
     kinds = dict(current.dtypes)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({group: [], "current": [], "new": []})
         a, b = a.sort_values(order), b.sort_values(new_order)
         p, q = a[[y, z, radius]].to_numpy(float), b[[y, z, radius]].to_numpy(float)
         free_a, free_b, out = np.ones(len(p), bool), np.ones(len(q), bool), []

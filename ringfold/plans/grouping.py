@@ -328,13 +328,13 @@ def ring_ordered(t: Tables) -> DataFrame:
     return windows.renumber(spots(t).select("spot", "ring", "eta"), "place", ["ring", "eta", "spot"]).select("spot", "place")
 
 
-@queries.add("WITH s AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), r AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS rank FROM s), c AS (SELECT count(*) AS n FROM s) SELECT d AS day, rank, rank // 7 AS grp FROM r, c WHERE rank // 7 < n // 7")
+@queries.add("WITH s AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), r AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS rank FROM s), c AS (SELECT count(*) AS n FROM s) SELECT CAST(d AS VARCHAR) AS day, rank, rank // 7 AS grp FROM r, c WHERE rank // 7 < n // 7")
 def scan_groups(t: Tables) -> DataFrame:
     """Scans by position in groups of seven, the last, partial group dropped."""
     s = t.orders.select(F.col("o_orderdate").cast("date").alias("day")).distinct()
     n = s.count()
     ranked = windows.renumber(s, "rank", ["day"], start=0).withColumn("rank", F.col("rank").cast("long"))
-    return ranked.withColumn("grp", F.floor(F.col("rank") / 7)).where(F.col("grp") < n // 7)
+    return ranked.withColumn("grp", F.floor(F.col("rank") / 7)).where(F.col("grp") < n // 7).withColumn("day", F.col("day").cast("string"))
 
 
 @queries.add("WITH r AS (SELECT h * h + k * k + l * l AS n, count(*) AS multiplicity FROM (SELECT a.i AS h, b.i AS k, c.i AS l FROM range(-5, 6) a(i), range(-5, 6) b(i), range(-5, 6) c(i)) WHERE h <> 0 OR k <> 0 OR l <> 0 GROUP BY 1) SELECT n, multiplicity, round(1000000 * tan(2 * asin(0.2 * sqrt(n) / (2 * 4.05))), 4) AS radius FROM r WHERE 1000000 * tan(2 * asin(0.2 * sqrt(n) / (2 * 4.05))) < 200000 ORDER BY n LIMIT 6")
