@@ -102,8 +102,8 @@ def greedy_mutual(current: DataFrame, new: DataFrame, group: str, order: str, ne
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({group: [], "current": [], "new": []})
-        a, b = a.sort_values(order), b.sort_values(new_order)
-        p, q = a[[y, z, radius]].to_numpy(float), b[[y, z, radius]].to_numpy(float)
+        a, b = a.sort_values("i"), b.sort_values("j")
+        p, q = a[["a_y", "a_z", "a_r"]].to_numpy(float), b[["b_y", "b_z", "b_r"]].to_numpy(float)
         free_a, free_b, out = np.ones(len(p), bool), np.ones(len(q), bool), []
         for i in range(len(p)):
             ahead = np.where(free_b & (np.abs(q[:, 2] - p[i, 2]) <= margin), np.hypot(q[:, 0] - p[i, 0], q[:, 1] - p[i, 1]), np.inf) if len(q) else np.zeros(0)
@@ -114,10 +114,13 @@ def greedy_mutual(current: DataFrame, new: DataFrame, group: str, order: str, ne
             if back.min() < ahead[j]:
                 continue
             free_a[i] = free_b[j] = False
-            out.append((a[group].iloc[0], a[order].iloc[i], b[new_order].iloc[j]))
+            out.append((a[group].iloc[0], a["i"].iloc[i], b["j"].iloc[j]))
         return pd.DataFrame(out, columns=[group, "current", "new"])
 
-    return current.groupBy(group).cogroup(new.groupBy(group)).applyInPandas(run, f"{group} {kinds[group]}, current {kinds[order]}, new {dict(new.dtypes)[new_order]}")
+    # names of their own, because both sides may come from one table
+    mine = current.select(group, F.col(order).alias("i"), *[F.col(c).alias(f"a_{n}") for n, c in (("y", y), ("z", z), ("r", radius))])
+    theirs = new.select(F.col(group).alias("g"), F.col(new_order).alias("j"), *[F.col(c).alias(f"b_{n}") for n, c in (("y", y), ("z", z), ("r", radius))])
+    return mine.groupBy(group).cogroup(theirs.groupBy("g")).applyInPandas(run, f"{group} {kinds[group]}, current {kinds[order]}, new {dict(new.dtypes)[new_order]}")
 
 
 def first_independent(nodes: DataFrame, pairs: DataFrame, node: str, a: str, b: str) -> DataFrame:
