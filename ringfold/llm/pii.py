@@ -3,7 +3,8 @@
 Numbers and dates that pass their own validation are mapped by a keyed permutation of their
 format's domain, so a pseudonym is as valid as its original (checksums hold, days exist,
 separators and paddings stay), two values never share one, and equal values have the same
-pseudonym in every document, however they are punctuated.
+pseudonym in every document, however they are punctuated. A phone number's country code stays,
+parsed by the list of codes; one in an American grouping without it counts as country 1.
 
 The permutation is a Feistel network of ``ROUNDS`` rounds over the smallest even number of
 bits that holds the domain, walked until the value falls into the domain again; its round
@@ -25,17 +26,20 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringfold.llm.text import buffers, slices
 
 ROUNDS = 8
-#: Stands in where a caller gives no key; production passes its own.
+#: The session's setting that holds the secret key; without a key anyone could invert the pseudonyms.
+KEY_SETTING = "spark.ringfold.pseudonym.key"
+#: Stands in where the session holds no key, as in tests and on the synthetic tables; it is no secret.
 KEY = b"ringfold pseudonyms"
 
 _FIRST_DAY, _LAST_DAY = datetime.date(1800, 1, 1).toordinal(), datetime.date(2199, 12, 31).toordinal()
@@ -170,13 +174,35 @@ def _ssn(text: str, key: bytes) -> tuple[str, str] | None:
     return "ssn", f"{_AREAS[rest // 99]:03d}-{rest % 99 + 1:02d}-{serial + 1:04d}"
 
 
+# The country codes of one and of two digits; all others have three.
+_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+
+
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with."""
+    return next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3])
+
+
+def _american(number: str) -> bool:
+    """Whether ten digits are a number of country code 1: neither area nor exchange begins with 0 or 1."""
+    return number[0] > "1" and number[3] > "1"
+
+
 def _phone(text: str, key: bytes) -> tuple[str, str] | None:
     digits = re.sub(r"[^0-9]", "", text)
     if not 8 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+([0-9]{1,3})(?![0-9])", text)
-    kept = code[1] if code else ""
-    return "phone", _digits(text, kept + _number(digits[len(kept) :], key, f"phone+{kept}"))
+    # without a country code only American groupings are looked for
+    code = country_code(digits) if text.startswith("+") else ""
+    own, tweak = digits[len(code) :], f"phone+{code or 1}"
+    if not own:
+        return None
+    new = _number(own, key, tweak)
+    if (code or "1") == "1" and len(own) == 10:
+        # valid numbers go to valid ones and others to others: the permutation is walked until it is back in the class
+        while _american(new) != _american(own):
+            new = _number(new, key, tweak)
+    return "phone", _digits(text, code + new)
 
 
 def _email(text: str, key: bytes) -> tuple[str, str]:
@@ -209,13 +235,21 @@ _SIGNS = np.zeros(256, bool)
 _SIGNS[list(b"0123456789@")] = True
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, found: str | None = None) -> DataFrame:
-    """docs with pseudonyms in ``text``; with ``found``, a column of that name tells kind, start and stop (bytes of the original) of each."""
-    names = docs.columns
+def session_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING; KEY, with a warning, where it is unset."""
+    held = spark.conf.get(KEY_SETTING, None)
+    if not held:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms are made with a public key", stacklevel=2)
+    return held.encode() if held else KEY
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, found: str | None = None) -> DataFrame:
+    """docs with pseudonyms in ``text``; with ``found``, a column of that name tells kind, start and stop (bytes of the original) of each. The key is the session's unless one is given. All columns go through under private names, so none clashes."""
+    key = session_key(docs.sparkSession) if key is None else key
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__body"):
-            place = batch.schema.get_field_index("__body")
+        for batch in slices(batches, f"c{place}"):
             body = batch.column(place)
             buf, off = buffers(body)
             marks = np.concatenate([[0], np.cumsum(_SIGNS[buf])])
@@ -227,13 +261,13 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, found: str | None = None) ->
             rows = [[{"kind": kind, "start": a, "stop": b} for kind, a, b in h] for h in hits]
             columns = list(batch.columns)
             columns[place] = pa.array(texts, pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, _FOUND)], [*batch.schema.names, "__found"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, _FOUND)], [*batch.schema.names, "found"])
 
-    inside = docs.select(*[F.col(f"`{c}`").cast("binary").alias("__body") if c == "text" else F.col(f"`{c}`") for c in names])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inside.schema.fields)
-    made = inside.mapInArrow(run, f"{kinds}, __found array<struct<kind: string, start: bigint, stop: bigint>>")
-    out = [F.col("__body").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in names]
-    return made.select(*out, *([F.col("__found").alias(found)] if found else []))
+    inside = docs.select(*[(F.col(f"`{c}`").cast("binary") if c == "text" else F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inside.schema.fields)
+    made = inside.mapInArrow(run, f"{kinds}, found array<struct<kind: string, start: bigint, stop: bigint>>")
+    out = [(F.col(f"c{k}").cast("string") if k == place else F.col(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)]
+    return made.select(*out, *([F.col("found").alias(found)] if found else []))
 
 
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
