@@ -2,7 +2,8 @@
 
 A text is brought to a canonical form: ASCII lower case, copyright lines dropped, equivalent
 spellings made one, everything but letters and digits to single spaces. Its SHA-256 is
-joined with the digests of known licence texts. A document is looked up as a whole, and each
+joined with the digests of known licence texts: short ones stand here as texts, long ones
+(GPL, LGPL, GFDL, MPL, Apache, CC0 and Artistic) as digests. A document is looked up as a whole, and each
 of its lines as a text of its own, for one-line notices.
 
 No step of the canonical form makes the words of ``GATE`` out of others, and every known text
@@ -58,6 +59,28 @@ Redistribution and use in source and binary forms, with or without modification,
 _BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 """
 _BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+# SHA-256 of the canonical form of whole licences as the Debian system ships them, with their appendix and up to the end of the terms.
+_WHOLE = [
+    ("Apache-2.0", "38b4f9647e85da8492a80164379dfb4140e26fc86c1001fc24aff6164d8cb434"),  # all of it
+    ("Apache-2.0", "3a8eaafbf1bd56a141366df75bb24d6db4ebce0d4bc60c0cc6228fa293768193"),  # the terms
+    ("Artistic-1.0-Perl", "b35b3a55b33e50ea032c5cae7b428d53b2588c179f6cba5b23a3716a2d16a9e9"),  # all of it
+    ("CC0-1.0", "9303391beca4f50b22fa1630aa4dde35a61a27d85fd3f7a1dbdaa90ecf2a99c5"),  # all of it
+    ("GFDL-1.2-only", "0d4cb8e678e5cc3adfeac0c42f161148f2173880508b22c7a0c0b0e5a48ef854"),  # all of it
+    ("GFDL-1.3-only", "3afd4ddc612c5d6abb6b2a5b5f6ed6ec50380adc6e531e08e66c009ec0543f5e"),  # all of it
+    ("GPL-1.0-only", "e6b357d3e19321092bbc5c5eec7716aafe4c74d25e98bca18993ec5a059ca7be"),  # all of it
+    ("GPL-1.0-only", "d5d5da8ab09fd76407a956bcbd899eb97e25cf60f0fb78d646d8ff5fea9800e8"),  # the terms
+    ("GPL-2.0-only", "7242b68d22d0701341ad42a61b1a6e6b3159bb2eeb7dcb421ba11eca11c2f306"),  # all of it
+    ("GPL-2.0-only", "7f9458729426472e65fe54dd6ed2abe0b52e0fcd22d0bd6301ee84f6de55daaa"),  # the terms
+    ("GPL-3.0-only", "36c9e1c63a43213b79fba75db98f73bded24734c08eb90796e4d5017939290d7"),  # all of it
+    ("GPL-3.0-only", "01ff1655f3b0da4cf9ecf80450594b00384ea0964a4f55a6495456315cb244c9"),  # the terms
+    ("LGPL-2.0-only", "f2b46405d156c8415318fd57535b39480a815ce00171a9687674e792c3e8ed58"),  # all of it
+    ("LGPL-2.0-only", "11220407548c05a77c143850d38ffeb7dfe2eddecacd803f08b9ddb3a906aa29"),  # the terms
+    ("LGPL-2.1-only", "1ccdd5558b7faa521ebfe6d2ec6f4f57df021d22a8317e92c439b4da97c0dbc9"),  # all of it
+    ("LGPL-2.1-only", "9b6298da8abf724a24c8ca9afabaad6896743a5f954c5c42adbbb6165d8db807"),  # the terms
+    ("LGPL-3.0-only", "808f6ed393224ac45cdbee273016b327ee86fe236e6c558b07444fcaa7ccdacd"),  # all of it
+    ("MPL-1.1", "e024c1cdd64a7abd2d0c6ef6d0178f85e2288adee9dc57b20e5cae0cdb57f57e"),  # all of it
+    ("MPL-2.0", "2a967c8923849baf4c0e5bffee8fd140f8c13ee083e85e6e3b0a292f3416bffc"),  # all of it
+]
 _NAMES = {
     "MIT": ["MIT License", "MIT licence terms"],
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
@@ -110,7 +133,8 @@ def canonical(text: str | Column) -> Column:
 def known_digests(spark: SparkSession) -> DataFrame:
     """(digest, licence) of the known texts; a fixed, small table."""
     known = spark.createDataFrame(known_texts() + further_texts(), "licence string, text string")
-    return known.select(F.sha2(canonical("text"), 256).alias("digest"), "licence").dropDuplicates(["digest"])
+    made = known.select(F.sha2(canonical("text"), 256).alias("digest"), "licence")
+    return made.unionByName(spark.createDataFrame(_WHOLE, "licence string, digest string")).groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
