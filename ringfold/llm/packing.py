@@ -14,7 +14,7 @@ that fills a sequence alone needs no search.
 
 Rows: null and empty texts have just the end id. Rows that repeat are documents of their
 own, told apart by their order in the result only. A null doc_id stays null. An empty table
-gives no rows. Capacities that can't bear a single piece raise ValueError before any work
+gives no rows. Where two sequences are as good, the one opened first is taken. Capacities that can't bear a single piece raise ValueError before any work
 if none could, and in the task that meets such a piece otherwise.
 """
 
@@ -51,6 +51,11 @@ class Capacity:
         if self.tokens < 1 or (self.pieces is not None and self.pieces < 1) or (self.cost is not None and self.cost < 1) or self.rule not in ("norm", "dot"):
             raise ValueError(f"no piece fits {self}")
 
+    @classmethod
+    def whole(cls, tokens: int = 4096) -> Capacity:
+        """What the query and the pipeline take: every capacity has a limit, and none excludes what the tokens allow, so no sequence is spent on them; they decide, with the tokens, which of the sequences that could bear a piece is left with the least room."""
+        return cls(tokens, tokens, float(tokens) ** 2)
+
     @property
     def longest(self) -> int:
         """The longest piece that fits alone."""
@@ -64,32 +69,36 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray
     need = np.stack([lengths, np.ones(n), lengths.astype(float) ** 2], axis=1)
     if n and (need > limits).any():
         raise ValueError("a piece exceeds a sequence's capacity")
-    bound = np.isfinite(limits)
+    bound = np.flatnonzero(np.isfinite(limits))
     scale, weights = limits[bound], np.array(cap.weights)[bound]
-    need, left = need[:, bound], np.empty((n, int(bound.sum())))
+    # demands and residuals as shares of the capacities would round; they are kept as they are, weights hold the scale
+    factor = weights / scale**2
+    need = np.ascontiguousarray(need[:, bound].T)
+    left = np.empty((len(bound), n))
     place, offset, filled = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
-    open_, bins = np.empty(n, np.int64), 0
-    live = 0
-    order = np.argsort(-(need / scale * weights).sum(axis=1), kind="stable")
-    least = np.minimum.accumulate(need[order][::-1], axis=0)[::-1] if n else need
+    open_, bins, live = np.empty(n, np.int64), 0, 0
+    order = np.argsort(-(need * (weights / scale)[:, None]).sum(axis=0), kind="stable")
+    least = np.minimum.accumulate(need[:, order][:, ::-1], axis=1)[:, ::-1] if n else need
     for step, i in enumerate(order):
-        if live and step % 512 == 0:
-            keep = (left[:live] >= least[step]).all(axis=1)
-            kept = int(keep.sum())
-            left[:kept], open_[:kept], live = left[:live][keep], open_[:live][keep], kept
-        rest = left[:live] - need[i]
-        fits = rest[:, 0] >= 0 if rest.shape[1] == 1 else (rest >= 0).all(axis=1)
-        if fits.any():
+        if live and step % 256 == 0:
+            keep = np.flatnonzero((left[:, :live] >= least[:, step, None]).all(axis=0))
+            live = len(keep)
+            left[:, :live], open_[:live] = left[:, keep], open_[keep]
+        fits = left[0, :live] >= need[0, i]
+        for k in range(1, len(bound)):
+            fits &= left[k, :live] >= need[k, i]
+        if (at := np.flatnonzero(fits)).size:
+            room = left[:, at]
             if cap.rule == "norm":
-                score = ((rest / scale) ** 2 * weights).sum(axis=1)
+                room -= need[:, i, None]
+                score = factor @ (room * room)
             else:
-                room = left[:live] / scale
-                score = -((need[i] / scale) * weights * room).sum(axis=1) / np.maximum(np.sqrt((room**2 * weights).sum(axis=1)), 1e-12)
-            k = int(np.argmin(np.where(fits, score, np.inf)))
-            left[k] = rest[k]
+                score = -((need[:, i] * factor) @ room) / np.maximum(np.sqrt(factor @ (room * room)), 1e-12)
+            k = int(at[np.argmin(score)])
+            left[:, k] -= need[:, i]
         else:
             k, live = live, live + 1
-            left[k], open_[k], bins = scale - need[i], bins, bins + 1
+            left[:, k], open_[k], bins = scale - need[:, i], bins, bins + 1
         b = open_[k]
         place[i], offset[i] = b, filled[b]
         filled[b] += lengths[i]
@@ -101,7 +110,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, counts = encoder(vocabulary).encode(*buffers(batch.column(2)))
+            ids, counts = encoder(vocabulary).encode_all(*buffers(batch.column(2)))
             rows: list[list[int]] = [[], [], [], [], []]
             at = 0
             for d, n in enumerate(counts.tolist()):
@@ -123,7 +132,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
 
 def pack(docs: DataFrame, capacity: Capacity | None = None, vocabulary: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece; sequences are gapless from offset 0."""
-    cap = capacity or Capacity()
+    cap = capacity or Capacity.whole()
     pieces = settled(token_pieces(docs, vocabulary, end_id, cap.longest))
     groups = max(1, -(-pieces.count() // GROUP))
 
