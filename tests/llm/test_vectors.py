@@ -39,3 +39,25 @@ def test_large_components_stay_exact():
     assert topk.inner(b, a[0]).tolist() == [(1 << 60) - 15, 7 * (1 << 40) - 27]
     huge = np.array([[1 << 60, 1 << 60]])
     assert topk.inner(huge, huge[0]).tolist() == [2**63 - 1]
+
+
+def test_waves_cover_all_shards_once():
+    for n in (1, 2, 7, 16, 33, 500):
+        w = topk.waves(n)
+        assert [a for a, _ in w] == [0, *[b for _, b in w[:-1]]] and w[-1][1] == n and all(a < b for a, b in w)
+
+
+def test_known_scores_prune_leaves():
+    """Branch and bound looks into few leaves where vectors stand in groups, and into fewer still from a score known before."""
+    rng = np.random.default_rng(3)
+    groups = rng.integers(-1000, 1000, (40, 8))
+    vectors = (groups[rng.integers(0, 40, 4000)] + rng.integers(-20, 20, (4000, 8))).astype(np.int64)
+    ids = np.arange(4000)
+    for q in vectors[:20]:
+        tree = topk.BallTree(vectors, 64)
+        whole = tree.search(q, ids, -1, 10)
+        first = tree.looked
+        want = sorted(zip((vectors @ q).tolist(), (-ids).tolist()), reverse=True)[:10]
+        assert whole == [(s, -i) for s, i in want] and first < len([c for c in tree.children if c is None]) / 3
+        tree.looked = 0
+        assert tree.search(q, ids, -1, 10, whole[-1][0]) == whole and tree.looked <= first
