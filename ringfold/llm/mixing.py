@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringfold.llm.shared import settled
+from ringfold.llm.shared import privately, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources whose plans are broadcast, about 100 bytes each; beyond it rows are joined with them by a shuffle.
@@ -130,7 +130,4 @@ def _mixed(docs: DataFrame, seed: int = 17, **goal) -> DataFrame:
 
 def mixture(docs: DataFrame, seed: int = 17, **goal) -> DataFrame:
     """The mixture itself, with the columns of docs; further columns go through under private names, so that none clashes with the mixture's own."""
-    own = {"doc_id", "text", "source"}
-    private = {c: c if c in own else f"__kept{k}" for k, c in enumerate(docs.columns)}
-    hidden = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in private.items()])
-    return _mixed(hidden, seed, **goal).select(*[F.col(p).alias(c) for c, p in private.items()])
+    return privately(docs, {"doc_id", "text", "source"}, lambda hidden: _mixed(hidden, seed, **goal))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
@@ -21,3 +23,10 @@ def settled(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared checkpoint folder; they survive lost executors and aren't computed again."""
     with_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def privately(docs: DataFrame, own: set[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on docs whose columns, but for those named in ``own``, go under private names, and have theirs again after it; so none clashes with a name that ``work`` uses."""
+    names = {c: c if c in own else f"__kept{k}" for k, c in enumerate(docs.columns)}
+    hidden = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in names.items()])
+    return work(hidden).select(*[F.col(p).alias(c) for c, p in names.items()])

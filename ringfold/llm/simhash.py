@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringfold.llm.components import components
-from ringfold.llm.shared import settled
+from ringfold.llm.shared import privately, settled
 from ringfold.llm.text import bytes_of, slices
 
 SEGMENTS, BITS = 8, 8
@@ -205,8 +205,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows alike in doc_id and text are one document, of which one row stays.
     """
-    names = docs.columns
-    _, heads = _grouped(docs)
-    kept = heads.select("head").distinct().select(F.coalesce(F.col("head.doc_id").cast("string"), F.lit("")).alias("__id"), F.col("head.tie").alias("__tie"))
-    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "__tie": F.xxhash64("text")})
-    return rows.join(kept, ["__id", "__tie"], "left_semi").dropDuplicates(["__id", "__tie"]).select(*names)
+    def kept(rows: DataFrame) -> DataFrame:
+        _, heads = _grouped(rows)
+        chosen = heads.select("head").distinct().select(F.coalesce(F.col("head.doc_id").cast("string"), F.lit("")).alias("__id"), F.col("head.tie").alias("__tie"))
+        keyed = rows.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "__tie": F.xxhash64("text")})
+        return keyed.join(chosen, ["__id", "__tie"], "left_semi").dropDuplicates(["__id", "__tie"])
+
+    return privately(docs, {"doc_id", "text"}, kept)

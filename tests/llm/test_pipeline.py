@@ -59,3 +59,30 @@ def _filled(rows):
 
 def test_run_gives_pieces(spark):
     assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_take_nulls_repeats_clashing_names_and_nothing(spark):
+    """Each stage alone on a small table with every case that its module states; columns named like the operators' own come out as they went in."""
+    prose = " ".join(f"word{k % 53} thing{k % 17} of{k}" for k in range(60))
+    other = " ".join(f"sentence{k % 41} about{k % 19} matter{k}" for k in range(60))
+    rows = [(1, prose, "en", "a"), (2, prose + " tail", "en", "a"), (2, prose + " tail", "en", "a"), (3, None, "en", None), (4, "", None, "b"), (None, other, "en", "b"), (None, None, None, None), (5, "few words", "de", "c"), (6, other + " 4550997810720808", "en", "c"), (7, "long " * 20_000, "en", "c")]
+    names = ["__id", "__tie", "tie", "g", "body", "size", "taken", "target", "fp", "head", "c0", "found", "bucket", "__kept0", "a.b", "Doc"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *range(len(names))) for r in rows], schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        got = out.collect()
+        if name == "packing":
+            assert sum(r.piece == 0 for r in got) == len(rows)
+        else:
+            assert out.columns == docs.columns and all(tuple(r[5:]) == tuple(range(len(names))) for r in got)
+            assert all(r.n_chars == len(r.text or "") for r in got)
+        if name == "quality rules":
+            assert {r.doc_id for r in got} <= {1, 2, None, 6} and all(r.text for r in got)
+        if name == "near-duplicates":
+            assert sum(r.doc_id == 2 for r in got) <= 1 and sum(not (r.text or "").split() for r in got) == 1
+        if name == "pseudonyms":
+            assert len(got) == len(rows) and sum(r.text is None for r in got) == 2 and not any("4550997810720808" in (r.text or "") for r in got)
+        if name == "mixture":
+            assert all(sum(x.text is not None and x.text == r[1] for x in got) <= 2 * sum(x[1] == r[1] for x in rows) for r in rows if r[1])
+        assert stage(spark, docs.limit(0), "").count() == 0
