@@ -35,14 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringfold.llm.shared import settled
+from ringfold.llm.shared import privately, settled
 from ringfold.llm.text import IS_SPACE, buffers, bytes_of, mix, slices, window_hashes, word_hashes, words
 
 ORDER = 4
 #: N-grams whose scores are broadcast, 16 bytes each in a worker.
 MODEL_ROWS = 3_000_000
 SCALE = 1 << 20
-_CHUNK = 1 << 20
+#: Bytes of text, and code points, that are worked on at once; about a hundred bytes of memory for each.
+_CHUNK = 1 << 18
 STEP = 0.001
 WIDTH, LEAST = 5.0, 2 * STEP
 _PAD = 2
@@ -120,10 +121,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, tie = (batch.column(k).to_numpy() for k in (0, 2))
         for row, high, low, h in _grams_of(batch):
             if len(h):
+                # what is counted once in a slice is much less than its text
                 h, first, n = np.unique(h, return_index=True, return_counts=True)
                 row = row[first]
                 held.append((h, g[row], tie[row] & 1, high[first], low[first], n))
-        if len(held) >= 16:
+        if len(held) >= 4:
             held = _merged(held)
             if len(held[0][0]) > _CHUNK:
                 yield out()
@@ -382,7 +384,10 @@ def judge(docs: DataFrame, width: float = WIDTH, least: float = LEAST, model_row
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept; all columns stay."""
-    good = judge(docs).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("tie").alias("__tie")).distinct()
-    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "__tie": F.xxhash64("text")})
-    return rows.join(good, ["__id", "__tie"], "left_semi").select(*docs.columns)
+    """The rows of docs that are kept; all columns stay, whatever their names."""
+    def kept(rows: DataFrame) -> DataFrame:
+        good = judge(rows).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("tie").alias("__tie")).distinct()
+        keyed = rows.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "__tie": F.xxhash64("text")})
+        return keyed.join(good, ["__id", "__tie"], "left_semi")
+
+    return privately(docs, {"doc_id", "text", "lang"}, kept)
