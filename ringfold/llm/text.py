@@ -6,6 +6,7 @@ and carriage return; that is the pattern ``[^\\x20\\x09-\\x0D]+`` on UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -14,6 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    _LIBRARY = ctypes.CDLL(None)
+except (OSError, TypeError):
+    _LIBRARY = None
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
@@ -48,8 +53,16 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
+def release() -> None:
+    """Gives memory that is free in this worker back to the system, so that a worker that is used again begins small."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBRARY, "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "body", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``most`` bytes of text (one row at least), so that memory stays bounded."""
+    release()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -60,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "body", most: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -24,9 +25,11 @@ import numpy as np
 from ringfold.llm.text import ranges, word_hashes
 
 #: Pieces whose ids a worker keeps, about 80 bytes each; when more come, it starts anew.
-KEPT_PIECES = 1_500_000
-#: Parts of pieces whose merged ids are kept meanwhile, about 300 bytes each.
-KEPT_PARTS = 200_000
+KEPT_PIECES = 1_000_000
+#: Parts of pieces whose merged ids are kept meanwhile, about 250 bytes each.
+KEPT_PARTS = 60_000
+#: Bytes of text that are encoded at once.
+AT_ONCE = 1 << 20
 
 # Letters that are surely letters to any version of Unicode, and the splitting rules over them.
 _LETTER, _DIGIT = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
@@ -80,7 +83,8 @@ class Encoder:
         self.whole = Tokenizer.from_file(public_tokenizers.path(name))
         self.whole.encode_special_tokens = not added
         self.added = tuple(t.content for t in self.whole.get_added_tokens_decoder().values()) if added else ()
-        self.model = Tokenizer.from_file(public_tokenizers.path(name)).model
+        # merged parts are kept here, so the library keeps none
+        self.model = self.whole.model
         self.model._resize_cache(0)
         self.lower = name.startswith("word")
         self.split, self.kept, self.letters = _SPLITS[name].findall, kept, _byte_letters()
@@ -88,7 +92,7 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.merged: dict[str, list[int]] = {}
+        self.merged: dict[str, array[int]] = {}
         self.known, self.place = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
         self.flat, self.used, self.n = np.zeros(1 << 20, np.uint32), 0, 0
         self.starts, self.counts = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
@@ -101,7 +105,7 @@ class Encoder:
             known = self.merged.get(part)
             if known is None:
                 spelled = part.encode().decode("latin-1").translate(self.letters)
-                known = [t.id for t in self.model.tokenize(spelled)]
+                known = array("I", [t.id for t in self.model.tokenize(spelled)])
                 if len(self.merged) >= KEPT_PARTS:
                     self.merged.clear()
                 self.merged[part] = known
@@ -135,6 +139,17 @@ class Encoder:
         low = np.uint64(self.slots - 1)
         return (hashes & low).astype(np.int64), (hashes >> np.uint64(32) & low).astype(np.int64)
 
+    def encode_all(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same as ``encode``, about ``AT_ONCE`` bytes of text (one text at least) after the other."""
+        ids, counts, at = [], [], 0
+        while at < len(off) - 1:
+            to = max(at + 1, int(np.searchsorted(off, off[at] + AT_ONCE, "right")) - 1)
+            mine, n = self.encode(buf[off[at] : off[to]], off[at : to + 1] - off[at])
+            ids.append(mine)
+            counts.append(n)
+            at = to
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32, and how many belong to each text; the texts are UTF-8 between the offsets."""
         start, end, per_text = pieces(buf, off)

@@ -410,8 +410,12 @@ def test_mixture_meets_targets(docs, empty, spark):
     from pyspark.sql import functions as F
 
     plain = docs.drop("size")
-    sized = plain.select("doc_id", "source", mixing.word_count("text").alias("size"), F.xxhash64("text").alias("tie"))
-    rows = mixing.taken_words(sized, mixing.source_targets(sized)).collect()
+    sized = mixing.sizes(plain)
+
+    def taken_of(sized):
+        return mixing.taken_words(sized, mixing.plan(sized, mixing.source_targets(sized)))
+
+    rows = taken_of(sized).collect()
     assert len(rows) == len(ROWS)
     sizes = Counter()
     for r in ROWS:
@@ -422,17 +426,39 @@ def test_mixture_meets_targets(docs, empty, spark):
         assert r.source_size == sizes[r.source] and abs(r.target - goal[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
     assert all(abs(taken[s] - goal[s]) <= 1 for s in sizes)
-    again = mixing.taken_words(sized, mixing.source_targets(sized)).collect()
+    again = taken_of(sized).collect()
     assert key(map(tuple, rows)) == key(map(tuple, again))
     got = Counter()
-    for r in mixing.mixed(plain).collect():
+    for r in mixing.mixture(plain).collect():
         got[r.source] += len(words(r.text))
     assert all(abs(got[s] - goal[s]) <= 1 for s in sizes)
-    assert mixing.mixed(empty.drop("size")).count() == 0
+    assert mixing.mixture(empty).count() == 0
     none = empty.select("doc_id", "source", F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("tie"))
-    assert mixing.taken_words(none, mixing.source_targets(none)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mixed(docs)
+    assert taken_of(none).count() == 0
+
+
+def test_mixture_cuts_where_a_sorted_list_would(spark, monkeypatch):
+    """Against a plain list sorted by position; with copies of one row, which get the same number of words; and with sources beyond the broadcast bound."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(["w"] * int(rng.integers(0, 9))) + f" d{k}", None if k % 5 == 0 else f"s{k % 3}") for k in range(300)] + [(777, "many copies of one text", "s9")] * 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sized = mixing.sizes(docs).withColumn("spot", mixing._spot(17))
+    targets = {r.source: r for r in mixing.source_targets(sized, weights=(3.0, 1.0, 2.0, 0.4), budget=1.3).collect()}
+    for most in (mixing.SOURCES, 0):
+        monkeypatch.setattr(mixing, "SOURCES", most)
+        got = mixing.taken_words(sized, mixing.plan(sized, mixing.source_targets(sized, weights=(3.0, 1.0, 2.0, 0.4), budget=1.3))).collect()
+        for source, goal in targets.items():
+            mine = sorted((r.spot, r.size, r.taken) for r in got if r.source == source)
+            whole, rest = divmod(round(goal.target), goal.source_size)
+            at = 0
+            while at < len(mine):
+                alike = [r for r in mine if r[0] == mine[at][0]]
+                extra = min(alike[0][1], rest // len(alike))
+                assert all(r[2] == whole * r[1] + extra for r in alike)
+                rest = max(0, rest - sum(r[1] for r in alike))
+                at += len(alike)
 
 
 def test_language_on_held_out_rows(spark, empty):
@@ -503,3 +529,217 @@ def test_mixture_stage_takes_clashing_columns(spark, docs):
     rows = out.collect()
     assert key(r[:4] for r in rows) == key(map(tuple, corpus_pipeline.mix(spark, plain, "").collect()))
     assert rows and all(tuple(r[4:]) == (3, "tie!", "target!", "source_size!", "taken!", "__whole!", "__Extra!", "a.b!") for r in rows)
+
+
+def test_phone_numbers_link_however_they_are_written():
+    def of(text):
+        return pii.pseudonymised(text.encode(), b"k")[0].decode()
+
+    def digits(text):
+        return re.sub("[^0-9]", "", text)
+
+    for alike in (["+49 171 1234 5678", "+4917112345678", "+49-171-1234-5678"], ["+1 (372) 555-7739", "(372) 555-7739", "372-555-7739", "+13725557739"], ["+420 601 123 456", "+420601123456"]):
+        made = [digits(of(x)) for x in alike]
+        national = {x[-len(digits(min(alike, key=len))):] for x in made}
+        assert len(national) == 1 and all(of(x) != x and re.sub("[0-9]", "0", of(x)) == re.sub("[0-9]", "0", x) for x in alike)
+    assert of("+4917112345678").startswith("+49") and of("+420601123456").startswith("+420") and of("+79161234567").startswith("+7")
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        number = f"{rng.integers(200, 1000)}-{rng.integers(200, 1000)}-{rng.integers(0, 10000):04d}"
+        assert of(number)[0] in "23456789" and of(number)[4] in "23456789"
+    assert of("155-155-0000")[0] in "01" or of("155-155-0000")[4] in "01"
+
+
+def plain_feistel(value, size, key, tweak):
+    """The keyed permutation again, on bit strings."""
+    bits = (size - 1).bit_length()
+    half = max(1, (bits + 1) // 2)
+    person = hashlib.blake2b(f"{tweak}/{size}".encode(), digest_size=16).digest()
+    while True:
+        text = format(value, f"0{2 * half}b")
+        left, right = text[:half], text[half:]
+        for r in range(8):
+            message = bytes([r]) + int(right, 2).to_bytes((half + 7) // 8, "big")
+            drawn = int.from_bytes(hashlib.blake2b(message, digest_size=(half + 7) // 8, key=key, person=person).digest(), "big") % (1 << half)
+            left, right = right, format(int(left, 2) ^ drawn, f"0{half}b")
+        value = int(left + right, 2)
+        if value < size:
+            return value
+
+
+def test_permutation_is_a_feistel_network_and_a_bijection():
+    for size in (2, 7, 100, 1000):
+        made = [pii.permute(x, size, b"k", "t") for x in range(size)]
+        assert sorted(made) == list(range(size)) and made == [plain_feistel(x, size, b"k", "t") for x in range(size)]
+        assert [pii.permute(x, size, b"k", "t", inverse=True) for x in made] == list(range(size))
+    assert pii.permute(123456789, 10**9, b"k", "t") == plain_feistel(123456789, 10**9, b"k", "t")
+
+
+def test_pseudonym_query_against_its_parts(spark, docs):
+    """Numbers found by the written forms alone, permuted by the plain network; the session's key is taken."""
+    rows = [(1, "card 4550997810720808 and 10.1.2.3"), (2, None), (3, "on 2024-02-29, 10.1.2.3 again"), (3, "on 2024-02-29, 10.1.2.3 again"), (4, "")]
+    d = spark.createDataFrame([(*r, 5, "y", "z") for r in rows], "doc_id long, text string, found long, __body string, c1 string")
+    spark.conf.set(pii.KEY_SETTING, "secret")
+    try:
+        got = {(r.doc_id, r.text) for r in pii.pseudonymise(d).collect()}
+        assert pii.pseudonymise(d).columns == d.columns and pii.pseudonymise(d).where("found = 5 AND __body = 'y' AND c1 = 'z'").count() == 5
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    address = ".".join(map(str, plain_feistel(0x0A010203, 1 << 32, b"secret", "ipv4").to_bytes(4, "big")))
+    body = str(plain_feistel(455099781072080, 10**15, b"secret", "card15")).zfill(15)
+    card = next(body + c for c in "0123456789" if not sum(sum(divmod(int(x) * (1 + k % 2), 10)) for k, x in enumerate(reversed(body + c))) % 10)
+    first = pii._FIRST_DAY
+    day = pii.datetime.date.fromordinal(first + plain_feistel(pii.datetime.date(2024, 2, 29).toordinal() - first, pii._LAST_DAY - first + 1, b"secret", "date"))
+    assert got == {(1, f"card {card} and {address}"), (2, None), (3, f"on {day}, {address} again"), (4, "")}
+
+
+def test_licences_by_digest_alone(spark):
+    """Long licences are known by digest: every file of them that is at hand is found, also with other case, spacing and copyright lines."""
+    import os
+
+    known = {spdx for spdx, _ in licenses._WHOLE}
+    assert {"GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "Apache-2.0"} <= known
+    files = {"GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only"}
+    at = [(spdx, f"/usr/share/common-licenses/{f}") for f, spdx in files.items() if os.path.exists(f"/usr/share/common-licenses/{f}")]
+    if not at:
+        pytest.skip("no licence files here")
+    rows = []
+    for k, (spdx, path) in enumerate(at):
+        text = open(path).read()
+        rows += [(10 * k, text, spdx), (10 * k + 1, "Copyright (c) 2020 A. Body\n" + text.upper().replace("  ", "\t "), spdx), (10 * k + 2, text + " and more", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    got = {r.doc_id: r.licence for r in licenses.scan(d).collect()}
+    assert got == {k: spdx for k, _, spdx in rows}
+
+
+def test_best_fit_takes_the_best_of_all_that_fit():
+    """Every choice, replayed one by one: it fits, no other sequence leaves a smaller norm (or a larger product), and a new one is opened only where none fits."""
+    lengths = np.random.default_rng(9).integers(1, 900, 700)
+    for cap in (packing.Capacity.whole(2048), packing.Capacity(2048, 5, 1.5e6, "norm", (1.0, 0.5, 2.0)), packing.Capacity(2048, 5, 1.5e6, "dot")):
+        limits = (cap.tokens, cap.pieces, cap.cost)
+        place, _ = packing.best_fit(lengths, cap)
+        demand = [(int(n), 1, float(n) ** 2) for n in lengths]
+        order = sorted(range(len(lengths)), key=lambda i: (-sum(w * x / m for w, x, m in zip(cap.weights, demand[i], limits, strict=True)), i))
+        left, used = {}, set()
+        for i in order:
+            def score(b, i=i):
+                if cap.rule == "norm":
+                    return sum(w * ((r - x) / m) ** 2 for w, r, x, m in zip(cap.weights, left[b], demand[i], limits, strict=True))
+                size = sum(w * (r / m) ** 2 for w, r, m in zip(cap.weights, left[b], limits, strict=True)) ** 0.5
+                return -sum(w * x * r / m**2 for w, r, x, m in zip(cap.weights, left[b], demand[i], limits, strict=True)) / max(size, 1e-12)
+
+            fits = [b for b in left if all(x <= r for x, r in zip(demand[i], left[b], strict=True))]
+            b = place[i]
+            if b in left:
+                assert b in fits and score(b) <= min(map(score, fits)) + 1e-9
+            else:
+                assert not fits
+                left[b] = limits
+            left[b] = tuple(r - x for r, x in zip(left[b], demand[i], strict=True))
+
+
+def test_prime_hashes_match_plain_sums(monkeypatch):
+    """Word and window hashes modulo the prime, with words longer than a segment; and equal wherever the words stand."""
+    from ringfold.llm import text
+
+    monkeypatch.setattr(text, "_SEGMENT", 64)
+    text._residues.cache_clear()
+    p = (1 << 31) - 1
+    raw = [b"one two  three " + b"x" * 200 + b" one two three four " * 9, b"", b"one two"]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    start, end, first = text.words(buf, off)
+    h = text.prime_words(buf, start, end)
+    base = 0x2F0B4C47
+    for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+        total = sum((c + 1) * pow(base, i, p) for i, c in enumerate(bytes(buf[a:b])))
+        assert int(h[k]) == (total * 48271 + b - a) % p
+    _, at = text.window_hashes(text.word_hashes(buf, start, end), first, 3)
+    w = text.prime_windows(h, at, 3)
+    for k, a in enumerate(at.tolist()):
+        assert int(w[k]) == sum((int(h[a + i]) + 1) * pow(0x5DEECE6D, i, p) for i in range(3)) % p
+    text._residues.cache_clear()
+
+
+def test_repeats_with_many_buckets(docs):
+    """Buckets by bytes of text don't change what is removed."""
+    whole = key(tuple(r) for r in repeats.remove_repeats(docs).collect())
+    assert whole == key(tuple(r) for r in repeats.remove_repeats(docs, bucket_bytes=20_000).collect())
+
+
+def test_parts_hold_documents_in_order(spark, monkeypatch):
+    """Ids that hold many rows, the largest id, and rows without one are dealt further; the files' order stays by id."""
+    parts = idfiles.Parts([3, 7, 7, 7, 9], 2)
+    rng = np.random.default_rng(5)
+    ids, ties = rng.integers(0, 12, 3000), rng.integers(0, 1 << 63, 3000, dtype=np.uint64).astype(np.int64)
+    none = rng.random(3000) < 0.2
+    ids[none], ties[none] = 0, -ties[none] - 1
+    p = parts.of(ids, ties)
+    where = sorted((bool(n), int(i), int(t) if t >= 0 else -int(t) - 1, int(k)) for n, i, t, k in zip(none, ids, ties, p, strict=True))
+    assert [w[3] for w in where] == sorted(p.tolist()) and len(set(p[(ids == 7) & ~none])) == 3 and len(set(p[none])) == 2
+    monkeypatch.setattr(idfiles, "PART_BYTES", 500)
+    rows = [(2**63 - 1, "the largest id")] + [(None, f"no id {k}") for k in range(40)] + [(5, f"same id, text {k}") for k in range(60)] + [(k, f"text {k}") for k in range(100, 140)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = idfiles.shared_path(spark, "ids")
+    idfiles.write_ids(d, path)
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in idfiles.read_ids(spark, path).collect())
+    assert [g[0] for g in got] == np.concatenate([[0], np.cumsum([g[1] for g in got])])[:-1].tolist()
+    assert [g[2] for g in got] == [5] * 60 + list(range(100, 140)) + [2**63 - 1] + [None] * 40
+    assert spark.read.parquet(f"{path}/shards").select("part").distinct().count() > 8
+
+
+def plain_probabilities(net, code):
+    """Summed probabilities of one window's positions, one position and one gate at a time."""
+    fx, fu, bx, bu, v, b = (w.astype(np.float64) for w in net.weights)
+    n = fu.shape[0]
+
+    def squash(x):
+        return x / (1 + abs(x))
+
+    def states(x, u, order):
+        h, out = np.zeros(n), {}
+        for t in order:
+            a, s = x[code[t]], h @ u
+            new, z = np.empty(n), np.empty(n)
+            for k in range(n):
+                z[k] = 0.5 + 0.5 * squash(a[k] + s[k])
+                reset = 0.5 + 0.5 * squash(a[n + k] + s[n + k])
+                new[k] = squash(a[2 * n + k] + reset * s[2 * n + k])
+            h = z * h + (1 - z) * new
+            out[t] = h
+        return out
+
+    ahead, back = states(fx, fu, range(len(code))), states(bx, bu, range(len(code) - 1, -1, -1))
+    total = np.zeros(len(b))
+    for t in range(len(code)):
+        e = np.exp(np.concatenate([ahead[t], back[t]]) @ v + b)
+        total += e / e.sum()
+    return total
+
+
+def test_prediction_reads_what_training_does(spark, monkeypatch):
+    """States of both directions as training has them, and a table's predictions as a plain loop over positions gives them, padded windows and all."""
+    rng = np.random.default_rng(12)
+    net = langid.Network(["a", "b", "c"], hidden=5)
+    codes = rng.integers(32, 127, (24, 6)).astype(np.uint8)
+    for weights, backward in ((net.weights[:2], False), (net.weights[2:4], True)):
+        layer = langid.Direction(*weights)
+        assert np.allclose(layer.run(codes, backward)[0].transpose(0, 2, 1), layer.states(codes, None, backward), atol=1e-5)
+    monkeypatch.setattr(langid, "WINDOW", 16)
+    texts = ["short", "x" * 16, "a text of more windows than one, the last one padded", "été" * 40, None, "12 34"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    batch = d.select(langid.F.col("doc_id"), langid.F.lit(True).alias("lettered"), langid.bytes_of("text").alias("body")).toArrow()
+    codes, lengths, text = langid._windows(*langid.buffers(batch.column("body")), 16)
+    got = np.zeros((len(texts), 3))
+    np.add.at(got, text, net.probabilities(codes, lengths))
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        want = sum((plain_probabilities(net, list(raw[a : a + 16])) for a in range(0, len(raw), 16)), np.zeros(3))
+        assert np.allclose(got[k], want, atol=1e-4)
+    found = {r.doc_id: r for r in langid.identify(d, net).collect()}
+    for k, t in enumerate(texts):
+        if t is None or not any(c.isalpha() for c in t):
+            assert (found[k].lang_pred, found[k].score) == ("und", 0.0)
+            continue
+        size = langid.WINDOW if len(t.encode()) else 1
+        want = sum((plain_probabilities(net, list(t.encode()[a : a + size])) for a in range(0, len(t.encode()), size)), np.zeros(3))
+        assert found[k].lang_pred == net.labels[int(want.argmax())] and abs(found[k].score - want.max() / want.sum()) < 1e-4
