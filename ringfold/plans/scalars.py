@@ -62,7 +62,8 @@ _SYMMETRY = ", ".join("({})".format(", ".join(f"CAST({x} AS DOUBLE)" for x in q)
 
 def _quaternions(t: Tables) -> DataFrame:
     q = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    unit = t.embeddings.select("vec_id", "label", q.alias("e")).withColumn("q", F.transform("e", lambda x: x / F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, y: a + y * y))))
+    # a vector without length has no direction, and no angle
+    unit = t.embeddings.select("vec_id", "label", q.alias("e")).withColumn("q", F.transform("e", lambda x: F.try_divide(x, F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, y: a + y * y)))))
     return unit.select("vec_id", "label", "q")
 
 
@@ -72,9 +73,11 @@ def misorientations(t: Tables) -> DataFrame:
     """Smallest cubic angle of each orientation to the first of its label."""
     q = _quaternions(t)
     first = q.groupBy("label").agg(F.min_by("q", "vec_id").alias("p"))
-    met = q.join(first, "label").withColumn("turned", rotations.multiply(rotations.conjugate(F.col("p")), F.col("q")))
-    cosine = F.array_max(F.transform(rotations.symmetry_column("m-3m"), lambda s: F.abs(F.aggregate(F.zip_with("turned", s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))))
-    return met.withColumn("c", cosine).where("c < 0.9999999").select("vec_id", F.round(rotations.misorientation(F.col("p"), F.col("q"), "m-3m"), 4).alias("angle"))
+    # no lambda on the pair: Spark pushes a filter that holds one below the join, where the other side's column isn't
+    angle = rotations.misorientation(F.col("p"), F.col("q"), "m-3m")
+    turned = rotations.multiply(rotations.conjugate(F.col("p")), F.col("q"))
+    cosine = rotations.nearness([rotations.at(turned, k) for k in range(4)], "m-3m")
+    return q.join(first, "label").where(cosine < 0.9999999).select("vec_id", F.round(angle, 4).alias("angle"))
 
 
 @queries.add(f"""
