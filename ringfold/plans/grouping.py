@@ -126,8 +126,12 @@ def seed_clusters(t: Tables) -> DataFrame:
 def voxel_grains(t: Tables) -> DataFrame:
     """Grains of a voxel map: the most confident voxel leads, and takes all less confident ones of its orientation that no better one has taken."""
     g = windows.renumber(_oriented(t), "i", [F.desc("confidence"), "grain"])
-    pairs = matching.orientation_pairs(g, "grain", "q", "m-3m", 8.0)
-    return summaries.first_leader(g, pairs, "grain", "i")
+    flat = [f"q{k}" for k in range(4)]
+    leads = matching.first_leads(
+        g.select("i", *[F.col("q")[k].alias(n) for k, n in enumerate(flat)]), "i", flat, lambda a, b: matching.misoriented(a, b, "m-3m") < 8,
+        lambda rest: matching.orientation_pairs(rest.withColumn("q", F.array(*flat)), "i", "q", "m-3m", 8.0))
+    named = g.select("grain", "i").join(leads, "i")
+    return named.join(g.select(F.col("grain").alias("leader"), F.col("i").alias("lead")), "lead").select("grain", "leader")
 
 
 @queries.add(f"""
