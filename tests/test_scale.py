@@ -26,3 +26,94 @@ def same(spark, duck, name):  # noqa: F811
 
 def test_misorientations_without_a_broadcast(spark, duck, unbroadcast):  # noqa: F811
     same(spark, duck, "misorientations")
+
+
+@pytest.mark.parametrize("name", ["orientation_pairs", "seed_clusters", "friedel_candidates", "friedel_matches", "friedel_seeds"])
+def test_no_broadcast_gives_the_same(spark, duck, unbroadcast, name):  # noqa: F811
+    same(spark, duck, name)
+
+
+def test_orientation_pairs_meet_few_candidates(spark):
+    """The angle comes from the representative in the cell: no lambda, and no sort of pairs, stands above the join."""
+    from ringfold.operators import matching
+
+    d = spark.createDataFrame([(k, [1.0, 0.01 * k, 0.0, 0.0]) for k in range(5)], "n long, q array<double>")
+    df = matching.orientation_pairs(d, "n", "q", "m-3m", 2.0)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan.split("MapInPandas")[0] and "Aggregate" not in plan.split("MapInPandas")[0]
+    assert {(r.a, r.b) for r in df.collect()} == {(k, k + 1) for k in range(4)}
+
+
+def test_links_of_a_group_of_copies_shrink_to_a_forest(spark):
+    from ringfold.operators.graph import forest
+
+    links = spark.range(60).crossJoin(spark.range(60).withColumnRenamed("id", "y")).withColumnRenamed("id", "x").where("x < y").coalesce(2)
+    got = forest(links).collect()
+    assert len(got) <= 2 * 59 and {n for r in got for n in (r.x, r.y)} == set(range(60))
+
+
+@pytest.mark.parametrize("take", [3, 1000])
+def test_first_leads_by_heads_are_those_of_the_walk(spark, take):
+    from ringfold.operators import joins, matching
+
+    points = [(k, float(k * 37 % 60), float(k * 53 % 41)) for k in range(150)] + [(200 + k, 1000.0 + 100 * k, 0.0) for k in range(20)]
+    want, leads = {}, []
+    for k, x, y in points:
+        near = [n for n, a, b in leads if math.hypot(a - x, b - y) < 9]
+        want[k] = min(near, default=k)
+        if not near:
+            leads.append((k, x, y))
+    d = spark.createDataFrame(points, "k long, x double, y double")
+    seen = []
+
+    def pairs(rest):
+        seen.append(rest.count())
+        return joins.pairs_within(rest, "k", ["x", "y"], 9.0)
+
+    got = matching.first_leads(d, "k", ["x", "y"], lambda a, b: matching.gaps(a, b) < 9, pairs, take)
+    assert {r.k: r.lead for r in got.collect()} == want
+    assert bool(seen) == (take == 3)
+
+
+def test_antipodal_matches_by_bands_are_those_of_the_walk(spark):
+    from ringfold.operators import matching
+
+    spots = [(k, k % 2, float(k * 37 % 360) - 180, math.cos(k * 0.7), math.sin(k * 0.7)) for k in range(160)]
+    pairs = []
+    for a in spots:
+        for b in spots:
+            turn, off = abs(abs(a[2] - b[2]) - 180), math.hypot(a[3] + b[3], a[4] + b[4])
+            if a[0] < b[0] and a[1] == b[1] and turn < 20 and off < 0.6:
+                pairs.append((turn / 20 + off / 0.6, a[0], b[0]))
+    used, want = set(), set()
+    for _, a, b in sorted(pairs):
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.add((a, b))
+    d = spark.createDataFrame(spots, "k long, g long, o double, u double, v double")
+    names = ("k", ["g"], "o", "u", "v", 20.0, 0.6)
+    assert {(r.a, r.b) for r in matching.antipodal_matches(d, *names).collect()} == want
+    assert sorted((r.a, r.b) for r in matching.antipodal_pairs(d, *names).collect()) == sorted((a, b) for _, a, b in pairs)
+    assert sorted(r.k for r in matching.antipodal_spots(d, *names).collect()) == sorted({n for _, a, b in pairs for n in (a, b)})
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_coverage_by_a_heap_is_that_of_the_plain_rounds(spark, most):
+    from ringfold.operators import aggregates
+
+    claims = [(g, (i * 7 + g) % 13, (i * i + 3 * g) % 31) for g in range(2) for i in range(120)]
+    want = []
+    for g in range(2):
+        sets, seen = {}, {}
+        for _, o, i in (c for c in claims if c[0] == g):
+            sets.setdefault(o, set()).add(i)
+        while sets:
+            gains = {o: sum(seen.get(i, 0) < most for i in s) for o, s in sets.items()}
+            best = min(gains, key=lambda o: (-gains[o], o))
+            if gains[best] < 1:
+                break
+            for i in sets.pop(best):
+                seen[i] = seen.get(i, 0) + 1
+            want.append((g, best, gains[best]))
+    got = aggregates.coverage_budget(spark.createDataFrame(claims, "g long, o long, i long"), "g", "o", "i", most, 1)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
