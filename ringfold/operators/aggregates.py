@@ -85,25 +85,50 @@ def shared_budget(claims: DataFrame, owner: str, item: str, quality: str) -> Dat
 
 
 def coverage_budget(claims: DataFrame, group: str, owner: str, item: str, most: int = 1, least_new: int = 1) -> DataFrame:
-    """(group, owner, new): greedily the owner that adds most items not yet covered ``most`` times, until none adds ``least_new``. Sequential within a group, which is one task's work."""
+    """(group, owner, new): greedily the owner that adds most items not yet covered ``most`` times, until none adds ``least_new``. Sequential within a group, which is one task's work.
+
+    Gains only fall: when an item is covered, its owners lose one each, so a claim is looked at
+    once, and the best owner stands on top of a heap, put back where its gain is stale.
+    """
+    import heapq
+
+    import numpy as np
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = {o: set(x) for o, x in rows.groupby(owner)[item]}
-        seen: dict[object, int] = {}
-        out = []
-        while sets:
-            gains = {o: sum(seen.get(i, 0) < most for i in s) for o, s in sets.items()}
-            best = min(gains, key=lambda o: (-gains[o], o))
-            if gains[best] < least_new:
+        own, owners = pd.factorize(rows[owner], sort=True)
+        held, _ = pd.factorize(rows[item])
+        use = (own >= 0) & (held >= 0)
+        own, held = own[use], held[use]
+        by_own, by_item = np.argsort(own, kind="stable"), np.argsort(held, kind="stable")
+        items, claimants = held[by_own], own[by_item]
+        gains = np.bincount(own, minlength=len(owners))
+        begin = np.concatenate([[0], np.cumsum(gains)])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(held))])
+        seen, out = np.zeros(len(ends) - 1, np.int64), []
+        heap = [(-int(g), k) for k, g in enumerate(gains)]
+        heapq.heapify(heap)
+        while heap:
+            gain, best = heapq.heappop(heap)
+            if -gain != gains[best]:
+                heapq.heappush(heap, (-int(gains[best]), best))
+                continue
+            if -gain < least_new:
                 break
-            for i in sets.pop(best):
-                seen[i] = seen.get(i, 0) + 1
-            out.append((rows[group].iloc[0], best, gains[best]))
+            out.append((rows[group].iloc[0], owners[best], -gain))
+            mine = items[begin[best] : begin[best + 1]]
+            seen[mine] += 1
+            full = mine[seen[mine] == most]
+            if len(full):
+                size = ends[full + 1] - ends[full]
+                at = np.repeat(ends[full] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                gains -= np.bincount(claimants[at], minlength=len(gains)) if len(at) > len(gains) else 0
+                if len(at) <= len(gains):
+                    np.subtract.at(gains, claimants[at], 1)
         return pd.DataFrame(out, columns=[group, owner, "new"])
 
     kinds = dict(claims.dtypes)
-    return claims.select(group, owner, item).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {owner} {kinds[owner]}, new long")
+    return claims.select(group, owner, item).distinct().groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {owner} {kinds[owner]}, new long")
 
 
 def worst_first_budget(df: DataFrame, keys: list[str], size: str, quality: str, tie: str, budget: Column) -> DataFrame:
