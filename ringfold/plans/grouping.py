@@ -374,5 +374,5 @@ def reflection_sets(t: Tables) -> DataFrame:
 def merged_files(t: Tables) -> DataFrame:
     """Peaks of two files as one table; a later peak near an earlier kept one is the same."""
     every = spots(t).where("scan = 0").unionByName(spots(t).where("scan = 1")).select("spot", "y", "z")
-    pairs = joins.pairs_within(every, "spot", ["y", "z"], 25.0).select("a", "b")
-    return matching.first_independent(every.select("spot"), pairs, "spot", "a", "b").where("NOT duplicate").select("spot")
+    leads = matching.first_leads(every, "spot", ["y", "z"], lambda a, b: matching.gaps(a, b) < 25, lambda rest: joins.pairs_within(rest, "spot", ["y", "z"], 25.0))
+    return leads.where("lead = spot").select("spot")
