@@ -90,9 +90,38 @@ def ring_chi_squared(cake: DataFrame, rings: DataFrame, radius: str, eta: str, v
 
 def pair_histogram(points: DataFrame, id_column: str, axes: list[str], reach: float, width: float) -> DataFrame:
     """(bin, n) of distances of all pairs below ``reach``."""
-    from ringfold.operators.joins import pairs_within
-
-    return pairs_within(points, id_column, axes, reach).groupBy(F.floor(F.col("distance") / width).alias("bin")).agg(F.count("*").alias("n"))
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    from ringfold.operators.matching import gaps, in_blocks
+
+    bins = math.ceil(reach / width)
+
+    def run(mine, theirs):
+        """Counts of a block's rows against all around it; a pair stands in the block of its later row."""
+        at, ids = mine[[f"__a_{x}" for x in axes]].to_numpy(float), mine["__a"].to_numpy()
+        own, names = theirs[[f"__b_{x}" for x in axes]].to_numpy(float), theirs["__b"].to_numpy()
+        order = np.lexsort(np.floor(own / (reach / 4)).T)
+        n, along = np.zeros(bins + 1, np.int64), np.argsort(at[:, 0], kind="stable")
+        first, far = at[along, 0], reach * (1 + 1e-9)
+        for k in range(0, len(own), 64):
+            some = order[k : k + 64]
+            low, high = own[some].min(axis=0) - far, own[some].max(axis=0) + far
+            about = along[np.searchsorted(first, low[0]) : np.searchsorted(first, high[0], "right")]
+            about = about[((at[about, 1:] >= low[1:]) & (at[about, 1:] <= high[1:])).all(axis=1) & (ids[about] < names[some].max())]
+            for m in range(0, len(about), 1 << 10):
+                part = about[m : m + (1 << 10)]
+                d = gaps(own[some], at[part])
+                d[(ids[part][None, :] >= names[some][:, None]) | (d >= reach)] = bins * width
+                n += np.bincount(np.minimum(d / width, bins).astype(np.int64).ravel(), minlength=bins + 1)
+        yield pd.DataFrame({"bin": np.flatnonzero(n[:bins]), "n": n[:bins][n[:bins] > 0]})
+
+    kept = points.where(F.col(id_column).isNotNull())
+    a, b = (kept.select(F.col(id_column).alias(f"__{p}"), *[F.col(x).cast("double").alias(f"__{p}_{x}") for x in axes]) for p in "ab")
+    counts = in_blocks(a, b, [f"__a_{x}" for x in axes], [f"__b_{x}" for x in axes], reach, run, "bin long, n long")
+    return counts.groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def sinograms(cells: DataFrame, translation: str, frame: str, values: list[str], last: int, snake: bool = True) -> DataFrame:

@@ -152,3 +152,44 @@ def test_nearest_others_by_growing_reach_are_those_of_all_pairs(spark):
     assert sorted((r.k, r.neighbour, r.distance, r["rank"]) for r in got) == sorted(want)
     value = {r[0]: r[4] for r in p}
     assert all(r.a_c == value[r.k] and r.b_c == value[r.neighbour] for r in got)
+
+
+def test_state_costs_and_cheapest_by_blocks_are_those_of_all_pairs(spark):
+    import numpy as np
+
+    from ringfold.operators import matching
+
+    rng = np.random.default_rng(9)
+    rows = [(k, *map(float, rng.integers(0, 50, 3)), [float(v) for v in (lambda q: q / np.linalg.norm(q))(np.array([1.0, *rng.uniform(-0.3, 0.3, 3)]))], float(rng.integers(1, 9))) for k in range(160)] + [(400, None, 0.0, 0.0, [1.0, 0.0, 0.0, 0.0], 1.0)]
+    d = spark.createDataFrame(rows, "k long, x double, y double, z double, q array<double>, s double")
+    one, two = d.where("k % 2 = 0").withColumnRenamed("k", "one"), d.where("k % 2 = 1").withColumnRenamed("k", "two")
+    costs = matching.state_costs(one, two, "one", "two", ["x", "y", "z"], "q", "s", "m-3m", 20.0, "combined", (2.0, 10.0), 60.0, 5.0)
+    want = {}
+    for a in rows[:-1:2]:
+        for b in rows[1:-1:2]:
+            gap = math.dist(a[1:4], b[1:4])
+            if gap < 20 and abs(a[5] - b[5]) <= 0.6 * a[5]:
+                angle = float(matching.misoriented(np.array([a[4]]), np.array([b[4]]), "m-3m")[0, 0])
+                want[a[0], b[0]] = (round(abs(angle - 5) / 2 + gap / 10, 9), round(angle, 9), round(gap, 9))
+    assert {(r.one, r.two): (round(r.cost, 9), round(r.angle, 9), round(r.distance, 9)) for r in costs.collect()} == want
+    best = matching.cheapest_states(one, two, "one", "two", ["x", "y", "z"], "q", "s", "m-3m", 20.0, (2.0, 10.0), 60.0, 5.0).collect()
+    assert len(best) == len({b for _, b in want}) and all(round(r.cost, 9) == min(c for (_, b), (c, _, _) in want.items() if b == r.two) for r in best)
+    # both modes come from one pass over the pairs
+    assert QUERIES["state_cost_modes"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_pair_histogram_counts_without_a_table_of_pairs(spark):
+    import numpy as np
+
+    from ringfold.operators import summaries
+
+    rng = np.random.default_rng(10)
+    p = [(k, *map(float, rng.integers(-30, 40, 2))) for k in range(300)] + [(5, 1.0, 1.0), (900, None, 0.0), (None, 1.0, 1.0)]
+    want: dict = {}
+    for a in p:
+        for b in p:
+            if None not in a and None not in b and a[0] < b[0] and (gap := math.dist(a[1:], b[1:])) < 17.0:
+                want[int(gap / 5)] = want.get(int(gap / 5), 0) + 1
+    df = summaries.pair_histogram(spark.createDataFrame(p, "k long, x double, y double"), "k", ["x", "y"], 17.0, 5.0)
+    assert {r.bin: r.n for r in df.collect()} == want
+    assert "a_x" not in df._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[0]
