@@ -48,27 +48,65 @@ def best_solutions(offers: DataFrame, voxel: str, order: str, q: str, score: str
     return offers.select(voxel, order, q, score).groupBy(voxel).applyInPandas(run, f"{voxel} {kinds[voxel]}, place int, offer {kinds[order]}, score double")
 
 
+#: Rows of a group whose square of angles is held, 128 MB at most.
+SQUARE_ROWS = 4096
+
+
+def _central(quats: np.ndarray, laue: str, guess: int) -> int:
+    """The first of the orientations with the least sum of angles to all.
+
+    Angles keep the triangle's inequality: a row of angles bounds every other's sum from below,
+    and who can't be least any more isn't looked at. So no square of angles is held.
+    """
+    n = len(quats)
+    bound, sums, at = np.zeros(n), np.full(n, np.inf), min(guess, n - 1)
+    open_ = np.ones(n, bool)
+    while True:
+        far = _angles(quats, quats[at], laue)
+        sums[at], open_[at] = far.sum(), False
+        np.maximum(bound, np.abs(sums[at] - n * far), out=bound)
+        # bounds are rounded, equal sums are told apart by place
+        open_ &= bound <= sums.min() * (1 + 1e-9) + 1e-9 * n
+        left = np.flatnonzero(open_)
+        if not len(left):
+            return int(sums.argmin())
+        at = int(left[bound[left].argmin()])
+
+
 def medoids(df: DataFrame, group: str, node: str, q: str, laue: str, k: int, starts: int = 10, seed: int = 1, rounds: int = 200) -> DataFrame:
-    """(group, node, medoid): each node's nearest of k medoids by misorientation, the best of several seeded starts. All pairs of a group are looked at in one task."""
+    """(group, node, medoid): each node's nearest of k medoids by misorientation, the best of several seeded starts. A group is one task's work; beyond ``SQUARE_ROWS`` it holds rows of its angles, no square of them."""
     kinds = dict(df.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(node)
         quats = np.array(rows[q].tolist(), float)
         quats /= np.linalg.norm(quats, axis=1, keepdims=True)
-        far = np.stack([_angles(quats, one, laue) for one in quats])
-        rng, best = np.random.default_rng(seed), (math.inf, None)
+        rng, best, after = np.random.default_rng(seed), (math.inf, None), {}
+        square = np.stack([_angles(quats, one, laue) for one in quats]) if len(rows) <= SQUARE_ROWS else None
+
+        def nearest(mid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            far = square[:, mid] if square is not None else np.stack([_angles(quats, quats[m], laue) for m in mid], axis=1)
+            label = far.argmin(axis=1)
+            return label, far[np.arange(len(rows)), label]
+
+        def central(m: np.ndarray, guess: int) -> int:
+            return int(square[np.ix_(m, m)].sum(axis=1).argmin()) if square is not None else _central(quats[m], laue, int(np.searchsorted(m, guess)))
+
         for _ in range(starts):
             mid = rng.choice(len(rows), min(k, len(rows)), replace=False)
             for _ in range(rounds):
-                label = far[:, mid].argmin(axis=1)
-                new = np.array([m[far[np.ix_(m, m)].sum(axis=1).argmin()] if len(m := np.flatnonzero(label == j)) else rng.integers(len(rows)) for j in range(len(mid))])
+                if (new := after.get(tuple(mid))) is None:
+                    label, _far = nearest(mid)
+                    held = [np.flatnonzero(label == j) for j in range(len(mid))]
+                    new = np.array([m[central(m, int(mid[j]))] if len(m) else rng.integers(len(rows)) for j, m in enumerate(held)])
+                    if all(len(m) for m in held):
+                        # starts that come to the same medoids go on alike
+                        after[tuple(mid)] = new
                 if (new == mid).all():
                     break
                 mid = new
-            label = far[:, mid].argmin(axis=1)
-            cost = far[np.arange(len(rows)), mid[label]].sum()
-            if cost < best[0]:
+            label, far = nearest(mid)
+            if (cost := far.sum()) < best[0]:
                 best = (cost, mid[label])
         return pd.DataFrame({group: rows[group], node: rows[node], "medoid": rows[node].to_numpy()[best[1]]})
 

@@ -88,3 +88,13 @@ def test_inversion_takes_the_detector_back(spark):
     y, z = geometry.tilt_corrected(F.col("y"), F.col("z"), 4000.0, (0.5, 0.4, -0.3))
     seen = placed.select("r", "e", F.sqrt(y * y + z * z).alias("q"), geometry.eta(y, z).alias("a")).select("r", "e", (F.col("q") * geometry.distortion(F.col("q"), F.col("a"), 700.0, p)).alias("q"), "a").collect()
     assert all(abs(s.q - s.r) < 1e-6 and abs(s.a - s.e) < 1e-6 for s in seen) and matching is not None
+
+
+def test_medoids_without_the_square_of_angles_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(k % 2, k, (lambda q: (q / np.linalg.norm(q)).tolist())(np.array([1.0, *rng.uniform(-0.4, 0.4, 3)]))) for k in range(120)]
+    d, got = spark.createDataFrame(rows, "g int, k int, q array<double>"), []
+    for most in (0, 4096):
+        monkeypatch.setattr(search, "SQUARE_ROWS", most)
+        got.append(sorted(map(tuple, search.medoids(d, "g", "k", "q", "m-3m", 3).collect())))
+    assert got[0] == got[1] and len(got[0]) == 120
