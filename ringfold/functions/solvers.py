@@ -95,28 +95,70 @@ def simplex_search(f: Callable[[np.ndarray], float], start: np.ndarray, size: fl
     return points[k], float(values[k])
 
 
-def nonnegative(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Non-negative least squares on the normal equations ``a`` x = ``b`` (a symmetric), by active sets."""
-    x, free = np.zeros(len(b)), np.zeros(len(b), bool)
-    for _ in range(rounds):
-        w = b - a @ x
-        w[free] = -np.inf
-        k = int(np.argmax(w))
-        if free.all() or w[k] <= 1e-10 * max(1.0, np.abs(b).max()):
-            break
-        free[k] = True
+def nonnegative(a: np.ndarray | Callable[[np.ndarray], np.ndarray], b: np.ndarray, sizes: np.ndarray | None = None, tolerance: float = 1e-12) -> np.ndarray:
+    """Non-negative least squares on the normal equations ``a`` x = ``b`` (a symmetric, or its product with a vector and ``sizes``, its diagonal), by conjugate gradients on the free columns, which are let go and held as their gradients say.
+
+    It ends where the gradient of what is free, and what is negative of the rest, is ``tolerance`` of b; an error is raised if that can't be reached nearly.
+    """
+    product = a if callable(a) else a.__matmul__
+    d = np.diag(a) if sizes is None else sizes
+    scale = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1.0)), 0.0)
+    b = np.asarray(b, float) * scale
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return scale * product(scale * v)
+
+    def free(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, g, 0.0)
+
+    x, g, widest, best, since, small = np.zeros(len(b)), -b, 0.0, np.inf, 0, tolerance * float(np.linalg.norm(b))
+    p = free(x, g)
+    while True:
+        f, held = free(x, g), np.where((x <= 0) & (g < 0), g, 0.0)
+        left = float(np.linalg.norm(f + held))
+        if left <= small:
+            # what was added up step by step is computed anew before it is believed
+            g = times(x) - b
+            f, held = free(x, g), np.where((x <= 0) & (g < 0), g, 0.0)
+            if np.linalg.norm(f + held) <= 2 * small:
+                return x * scale
+            p, left = f, float(np.linalg.norm(f + held))
+        best, since = (left, 0) if left < best / 2 else (best, since + 1)
+        if since > 1000:
+            if best <= 1e4 * small:
+                return x * scale
+            raise ArithmeticError(f"non-negative least squares didn't settle: {best / max(small, 1e-300) * tolerance:.1e} of the right side is left")
+        if held @ held > f @ f:
+            move = times(held)
+            step = (g @ held) / (held @ move)
+            x, g = np.maximum(x - step * held, 0.0), g - step * move
+            p = free(x, g)
+            continue
+        move = times(p)
+        bend = float(p @ move)
+        if bend <= 0:
+            p, g = f, times(x) - b
+            continue
+        step, widest = float(g @ p) / bend, max(widest, bend / float(p @ p))
+        falls = p > 0
+        room = float((x[falls] / p[falls]).min()) if falls.any() else np.inf
+        if step <= room:
+            x, g = np.maximum(x - step * p, 0.0), g - step * move
+            f = free(x, g)
+            p = f - (f @ move) / bend * p
+            continue
+        # the nearest bound stops the step; a step down the gradient from there, cut at the bounds, holds many columns at once
+        x, g = np.maximum(x - room * p, 0.0), g - room * move
+        x[falls & (x <= 1e-15 * room * p)] = 0.0
+        value, f = x @ g - x @ b, free(x, g)
         while True:
-            s = np.zeros(len(b))
-            at = np.flatnonzero(free)
-            s[at] = np.linalg.lstsq(a[np.ix_(at, at)], b[at], rcond=None)[0]
-            low = free & (s <= 0)
-            if not low.any():
-                x = s
+            y = np.maximum(x - f / widest, 0.0)
+            h = times(y) - b
+            if y @ h - y @ b <= value + 1e-14 * abs(value):
                 break
-            x = x + np.min(x[low] / np.maximum(x[low] - s[low], 1e-300)) * (s - x)
-            free &= x > 1e-14
-            x[~free] = 0
-    return x
+            widest *= 2
+        x, g = y, h
+        p = free(x, g)
 
 
 def strain_of_spacings(normals: np.ndarray, strains: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:

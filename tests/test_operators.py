@@ -137,6 +137,28 @@ def test_solvers_recover():
     assert blobs.max() == 3 and blobs[0, 0] == blobs[1, 1]
 
 
+def test_volumes_of_many_columns(spark, monkeypatch):
+    """More columns than the solver once freed (500) or took (2000), on the driver and by tasks, with some held at zero; nulls and repeated claims."""
+    from ringfold.operators import fits
+
+    rng = np.random.default_rng(5)
+    for n, patched in ((700, {}), (2300, {"NEAR": 0, "WIDE": 500, "CHUNK": 2000})):
+        for name, value in patched.items():
+            monkeypatch.setattr(fits, name, value)
+        a = np.zeros((3 * n, n))
+        for k in range(3 * n):
+            a[k, rng.choice(n, 4, replace=False)] = rng.integers(1, 20, 4)
+        t = a @ rng.uniform(-1, 4, n)
+        rows = [(int(k), int(i), float(a[k, i] / 2), float(t[k])) for k, i in zip(*np.nonzero(a), strict=True) for _ in range(2)]
+        rows += [(None, 5, 3.0, 7.0), (1, n, None, float(t[1]))]
+        got = {r.i: r.volume for r in fits.volumes(spark.createDataFrame(rows, "r long, i long, w double, t double"), "r", "i", "w", "t").collect()}
+        x = np.array([got[i] for i in range(n)])
+        slope = a.T @ (a @ x - t)
+        assert len(got) == n + 1 and got[n] == 0 and (x >= 0).all() and (x == 0).sum() > 50 and (x > 0).sum() > 500
+        assert np.abs(slope[x > 0]).max() < 1e-8 * np.abs(a.T @ t).max() and slope[x == 0].min() > -1e-8 * np.abs(a.T @ t).max()
+    assert fits.volumes(spark.createDataFrame([], "r long, i string, w double, t double"), "r", "i", "w", "t").collect() == []
+
+
 def test_strain_from_normal_equations(spark):
     rng = np.random.default_rng(3)
     truth = np.array([1e-3, -2e-3, 5e-4, 1e-4, -3e-4, 2e-4])
