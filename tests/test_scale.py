@@ -242,3 +242,15 @@ def test_pairs_within_broadcast_no_side(spark):
     d = spark.createDataFrame([(k, float(k), 0.0) for k in range(9)], "k long, x double, y double")
     near = joins.pairs_within(d, "k", ["x", "y"], 1.5)
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString() and near.count() == 8
+
+
+@pytest.mark.parametrize("name", ["friedel_candidates"])
+def test_antipodal_sides_are_never_broadcast(spark, monkeypatch, name):
+    """A row stands in up to eight cells, which statistics don't tell: on small tables, too, no plan that runs broadcasts a side."""
+    from ringfold.operators import matching
+
+    plans, settle = [], matching.settle
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(matching, "settle", lambda df: plans.append(plan(df)) or settle(df))
+    plans.append(plan(QUERIES[name](spark, SMALL)))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
