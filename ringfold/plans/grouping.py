@@ -111,8 +111,8 @@ def grain_means(t: Tables) -> DataFrame:
 def seed_clusters(t: Tables) -> DataFrame:
     """Clusters of seeds of one orientation, small ones dropped, each with the seed of the least angle."""
     g = _oriented(t)
-    found = connected(matching.orientation_pairs(g, "grain", "q", "m-3m", 5.0), "a", "b")
-    named = g.join(found.withColumnRenamed("node", "grain"), "grain", "left").withColumn("cluster", F.coalesce("component", "grain"))
+    found = matching.orientation_components(g, "grain", "q", "m-3m", 5.0)
+    named = g.join(found.withColumnRenamed("node", "grain").hint("merge"), "grain", "left").withColumn("cluster", F.coalesce("component", "grain"))
     best = named.groupBy("cluster").agg(F.count("*").alias("size"), F.min(F.struct("radius", "grain")).alias("m")).where("size >= 2")
     return best.select("cluster", F.col("m.grain").alias("representative"), "size")
 

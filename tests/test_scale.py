@@ -254,3 +254,25 @@ def test_antipodal_sides_are_never_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(matching, "settle", lambda df: plans.append(plan(df)) or settle(df))
     plans.append(plan(QUERIES[name](spark, SMALL)))
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("most", [2, 100_000])
+def test_orientation_components_are_those_of_all_pairs(spark, monkeypatch, most):
+    """By a growing angle or at once: copies of one orientation are one node, and no pair of copies is made."""
+    import numpy as np
+
+    from ringfold.operators import matching
+
+    monkeypatch.setattr(matching, "PAIRED_ROWS", most)
+    rng = np.random.default_rng(12)
+    quats = np.concatenate([c + rng.normal(0, 0.012, (25, 4)) for c in rng.normal(0, 1, (5, 4))])
+    quats = np.concatenate([quats / np.linalg.norm(quats, axis=1, keepdims=True), [[1.0, 0.0, 0.0, 0.0], [math.nan, 0.0, 0.0, 0.0]]])[[*range(127), *range(0, 125, 3), 125, 125]]
+    near, up = matching.misoriented(quats, quats, "m-3m") < 3, list(range(len(quats)))
+    for _ in up:
+        up = [min([up[k], *(up[j] for j in np.flatnonzero(near[k]))]) for k in range(len(up))]
+    seen, pairs = [], matching.orientation_pairs
+    monkeypatch.setattr(matching, "orientation_pairs", lambda df, *a: (seen.append(df.count()), pairs(df, *a))[1])
+    d = spark.createDataFrame([(k, [float(x) for x in q]) for k, q in enumerate(quats)], "n long, q array<double>")
+    got = matching.orientation_components(d, "n", "q", "m-3m", 3.0).collect()
+    assert {r.node: r.component for r in got} == {k: c for k, c in enumerate(up) if k != 126} and len(got) == len(quats) - 1
+    assert set(seen) == {126} and (len(seen) > 1) == (most == 2) and len(set(up)) > 5
