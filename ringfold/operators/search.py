@@ -52,29 +52,167 @@ def best_solutions(offers: DataFrame, voxel: str, order: str, q: str, score: str
 SQUARE_ROWS = 4096
 
 
-def _central(quats: np.ndarray, laue: str, guess: int) -> int:
-    """The first of the orientations with the least sum of angles to all.
-
-    Angles keep the triangle's inequality: a row of angles bounds every other's sum from below,
-    and who can't be least any more isn't looked at. So no square of angles is held.
+class _Centre:
+    """Finds, of any part of a table of orientations, the first with the least sum of angles to all of the part, without a square of angles.
+
+    Rows stand in boxes of near ones. An angle to one point is convex along the arc between two
+    others, while the same symmetry stays nearest: so a box's angles to a row sum up to no less
+    than the box's middle and the slope there tell. Where another symmetry may be nearer, or
+    beyond half a turn, the triangle's inequality serves. Only rows whose bound is below the least
+    sum found are looked at. Of those the sums to all rows of smaller boxes are kept, so that later
+    only boxes that are members in part are summed again.
     """
-    n = len(quats)
-    bound, sums, at = np.zeros(n), np.full(n, np.inf), min(guess, n - 1)
-    open_ = np.ones(n, bool)
-    while True:
-        far = _angles(quats, quats[at], laue)
-        sums[at], open_[at] = far.sum(), False
-        np.maximum(bound, np.abs(sums[at] - n * far), out=bound)
-        # bounds are rounded, equal sums are told apart by place
-        open_ &= bound <= sums.min() * (1 + 1e-9) + 1e-9 * n
-        left = np.flatnonzero(open_)
-        if not len(left):
-            return int(sums.argmin())
-        at = int(left[bound[left].argmin()])
+
+    def __init__(self, quats: np.ndarray, laue: str, most: int = 60_000_000):
+        self.quats, self.laue, self.group = quats, laue, np.array(rotations.symmetry(laue))
+        # signed symmetries of which all signs are there are one sum of sizes
+        kinds: dict[tuple[float, ...], list[tuple[float, ...]]] = {}
+        for x in self.group.tolist():
+            kinds.setdefault(tuple(round(abs(f), 9) for f in x), []).append(x)
+        self.even, self.odd = {}, []
+        for sizes, signed in kinds.items():
+            used = [k for k in range(4) if sizes[k]]
+            if len(signed) == 2 ** (len(used) - 1) and len({sizes[k] for k in used}) == 1:
+                self.even.setdefault(sizes[used[0]], []).append(used)
+            else:
+                self.odd += signed
+        self.even = {len(found[0]) ** -0.5: found for found in self.even.values()}
+        n = len(quats)
+        best, image = np.full(n, -1.0), quats.copy()
+        for s in self.group:
+            turned = matching._times(quats, s)
+            better = np.abs(turned[:, 0]) > best
+            best[better], image[better] = np.abs(turned[better, 0]), turned[better]
+        image *= np.where(image[:, :1] < 0, -1.0, 1.0)
+        boxes = [np.arange(n)]
+        while 12 * len(boxes) * n <= most and max(map(len, boxes)) > 16:
+            boxes = [h for b in boxes for h in self._halves(b, image)]
+        self.box = np.empty(n, np.int64)
+        for k, b in enumerate(boxes):
+            self.box[b] = k
+        # all rows by smaller boxes, of whose sums those once made are kept, in blocks
+        small = boxes
+        while 2 * len(small) <= 1024 and max(map(len, small)) > 16:
+            small = [h for b in small for h in self._halves(b, image)]
+        self.small = np.empty(n, np.int64)
+        for k, b in enumerate(small):
+            self.small[b] = k
+        self.by_box, self.sizes = np.concatenate(small), np.array([len(b) for b in small])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.at, self.held = np.full(n, -1, np.int64), []
+        middle = np.stack([image[b].sum(axis=0) for b in boxes])
+        middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+        own = middle[self.box]
+        cosine = np.minimum((image * own).sum(axis=1), 1.0)
+        half = np.arccos(np.maximum(cosine, -1.0))
+        across = image - cosine[:, None] * own
+        size = np.linalg.norm(across, axis=1)
+        # arcs from the boxes' middles to their rows, as angles of rotation
+        self.arc = np.where(size[:, None] > 1e-12, across / np.maximum(size, 1e-300)[:, None], 0.0) * np.degrees(2 * half)[:, None]
+        self.off = np.degrees(2 * half)
+        widest = np.zeros(len(boxes))
+        np.maximum.at(widest, self.box, self.off)
+        self.table = np.empty((n, 6, len(boxes)), np.float32)
+        step = max(1, (1 << 21) // (len(self.group) * len(boxes)))
+        for k in range(0, n, step):
+            part = quats[k : k + step]
+            images = np.stack([matching._times(part, s) for s in self.group], axis=1)
+            dots = images.reshape(-1, 4) @ middle.T
+            sign = dots.reshape(len(part), len(self.group), -1)
+            sizes = np.abs(sign)
+            which = sizes.argmax(axis=1)[:, None]
+            nearest = np.take_along_axis(sizes, which, 1)[:, 0]
+            first = np.degrees(2 * np.arccos(np.minimum(nearest, 1.0)))
+            np.put_along_axis(sizes, which, -1.0, 1)
+            second = np.degrees(2 * np.arccos(np.clip(sizes.max(axis=1), -1.0, 1.0)))
+            there = images[np.arange(len(part))[:, None], which[:, 0]] * np.where(np.take_along_axis(sign, which, 1)[:, 0] < 0, -1.0, 1.0)[:, :, None]
+            sure = (second - first > 2 * widest * (1 + 1e-6) + 1e-6) & (first + widest < 179.9) & (first > 0.01)
+            slope = np.where(sure, -1.0 / np.maximum(np.sqrt(np.maximum(1 - nearest * nearest, 0.0)), 1e-9), 0.0)
+            self.table[k : k + step, 0], self.table[k : k + step, 1] = first, np.where(sure, 0.0, -1.0)
+            self.table[k : k + step, 2:] = ((there - nearest[:, :, None] * middle) * slope[:, :, None]).transpose(0, 2, 1)
+
+    @staticmethod
+    def _halves(rows: np.ndarray, image: np.ndarray) -> list[np.ndarray]:
+        if len(rows) < 2:
+            return [rows]
+        axis = int(np.ptp(image[rows], axis=0).argmax())
+        order = rows[np.argsort(image[rows, axis], kind="stable")]
+        return [order[: len(order) // 2], order[len(order) // 2 :]]
+
+    def _far(self, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Angles of some rows to some others."""
+        best, (a, b, c, d) = np.zeros((len(some), len(others))), self.quats[some].T
+        turns = [np.stack(x, axis=1) for x in ((a, b, c, d), (-b, a, d, -c), (-c, -d, a, b), (-d, c, -b, a))]
+        for k in range(0, len(others), 2048):
+            their, out = self.quats[others[k : k + 2048]].T, best[:, k : k + 2048]
+            parts = [x @ their for x in turns]
+            for signed in self.odd:
+                np.maximum(out, np.abs(sum(x * f for x, f in zip(parts, signed, strict=True) if f)), out=out)
+            for x in parts:
+                np.abs(x, out=x)
+            for size, kinds in self.even.items():
+                most = None
+                for used in kinds:
+                    offer = parts[used[0]]
+                    for j in used[1:]:
+                        offer = offer + parts[j]
+                    most = offer.copy() if most is None else np.maximum(most, offer, out=most)
+                np.maximum(out, most * size, out=out)
+            np.arccos(np.minimum(out, 1.0, out=out), out=out)
+        best *= math.degrees(2)
+        return best
+
+    def _known(self, some: np.ndarray) -> np.ndarray:
+        """Sums of the angles of some rows to all rows of each box, which are kept."""
+        new = some[self.at[some] < 0]
+        for k in range(0, len(new), 32):
+            part = new[k : k + 32]
+            self.at[part] = len(self.held) * 32 + np.arange(len(part))
+            # a block of 32, of which the last may be filled in part
+            block = np.zeros((32, len(self.starts)))
+            block[: len(part)] = np.add.reduceat(self._far(part, self.by_box), self.starts, axis=1)
+            self.held.append(block)
+        rows = self.at[some]
+        return np.stack([self.held[r >> 5][r & 31] for r in rows.tolist()]) if len(rows) else np.zeros((0, len(self.starts)))
+
+    def _bound(self, members: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """What sums of angles to some rows aren't below, for all of the members. What single precision may add is taken off."""
+        columns = [np.ones(len(of)), self.off[of], *self.arc[of].T]
+        vector = np.concatenate([np.bincount(self.box[of], c, self.table.shape[2]) for c in columns]).astype(np.float32)
+        return (self.table.reshape(len(self.quats), -1) @ vector)[members].astype(float) - 0.005 * len(of)
+
+    def of(self, members: np.ndarray, guess: int) -> int:
+        """Place among the members."""
+        n, whole = len(members), np.bincount(self.small[members], minlength=len(self.starts)) == self.sizes
+        # only boxes that are members in part are looked at again, others' sums are known
+        rest = members[~whole[self.small[members]]]
+        bound, part = self._bound(members, members), self._bound(members, rest)
+        slack, sums = 1e-7 * n, np.full(n, np.inf)
+
+        def look(some: np.ndarray, known: np.ndarray) -> None:
+            sums[some] = known[:, whole].sum(axis=1) + self._far(members[some], rest).sum(axis=1)
+
+        look(np.array([guess]), self._known(members[[guess]]))
+        order, k = np.argsort(bound, kind="stable"), 0
+        while k < n and bound[order[k]] <= sums.min() * (1 + 1e-9) + slack:
+            some = order[k : k + 512]
+            some = some[bound[some] <= sums.min() * (1 + 1e-9) + slack]
+            known, k = self._known(members[some]), k + 512
+            finer = known[:, whole].sum(axis=1) + part[some]
+            ranks = np.argsort(finer, kind="stable")
+            for r in range(0, len(ranks), 32):
+                near = ranks[r : r + 32]
+                near = near[finer[near] <= sums.min() * (1 + 1e-9) + slack]
+                if not len(near):
+                    break
+                look(some[near], known[near])
+        # equal sums are told apart by place, so those that are nearly equal are summed in one way
+        last = np.flatnonzero(sums <= sums.min() * (1 + 1e-9) + slack)
+        return int(last[np.argmin([_angles(self.quats[members], self.quats[members[i]], self.laue).sum() for i in last])])
 
 
 def medoids(df: DataFrame, group: str, node: str, q: str, laue: str, k: int, starts: int = 10, seed: int = 1, rounds: int = 200) -> DataFrame:
-    """(group, node, medoid): each node's nearest of k medoids by misorientation, the best of several seeded starts. A group is one task's work; beyond ``SQUARE_ROWS`` it holds rows of its angles, no square of them."""
+    """(group, node, medoid): each node's nearest of k medoids by misorientation, the best of several seeded starts. A group is one task's work; beyond ``SQUARE_ROWS`` it holds sums of its angles by boxes, no square of them."""
     kinds = dict(df.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -83,6 +221,7 @@ def medoids(df: DataFrame, group: str, node: str, q: str, laue: str, k: int, sta
         quats /= np.linalg.norm(quats, axis=1, keepdims=True)
         rng, best, after = np.random.default_rng(seed), (math.inf, None), {}
         square = np.stack([_angles(quats, one, laue) for one in quats]) if len(rows) <= SQUARE_ROWS else None
+        centre = _Centre(quats, laue) if square is None else None
 
         def nearest(mid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             far = square[:, mid] if square is not None else np.stack([_angles(quats, quats[m], laue) for m in mid], axis=1)
@@ -90,7 +229,7 @@ def medoids(df: DataFrame, group: str, node: str, q: str, laue: str, k: int, sta
             return label, far[np.arange(len(rows)), label]
 
         def central(m: np.ndarray, guess: int) -> int:
-            return int(square[np.ix_(m, m)].sum(axis=1).argmin()) if square is not None else _central(quats[m], laue, int(np.searchsorted(m, guess)))
+            return int(square[np.ix_(m, m)].sum(axis=1).argmin()) if square is not None else centre.of(m, int(np.searchsorted(m, guess)))
 
         for _ in range(starts):
             mid = rng.choice(len(rows), min(k, len(rows)), replace=False)

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ringfold.functions import rotations
@@ -98,3 +99,19 @@ def test_medoids_without_the_square_of_angles_are_the_same(spark, monkeypatch):
         monkeypatch.setattr(search, "SQUARE_ROWS", most)
         got.append(sorted(map(tuple, search.medoids(d, "g", "k", "q", "m-3m", 3).collect())))
     assert got[0] == got[1] and len(got[0]) == 120
+
+
+@pytest.mark.parametrize("laue", ["m-3m", "6/mmm", "-1"])
+def test_centres_of_parts_are_those_of_all_angles(laue):
+    """With copies, so that the first of equal sums must be found, and wide enough that symmetries compete; not every row's sums are made."""
+    rng = np.random.default_rng(13)
+    q = np.stack([1 + rng.uniform(-0.3, 0.3, 1500), *rng.uniform(-0.35, 0.35, (3, 1500))], axis=1)
+    q = (q / np.linalg.norm(q, axis=1, keepdims=True))[np.concatenate([np.arange(1500), np.arange(0, 1500, 4)])]
+    square = np.stack([search._angles(q, one, laue) for one in q])
+    centre = search._Centre(q, laue)
+    assert np.allclose(centre._far(np.arange(40), np.arange(len(q))), square[:40], atol=1e-5)
+    parts = [np.arange(len(q)), np.flatnonzero(square[3] < square[700]), np.flatnonzero(square[3] < square[9]), np.arange(1480, 1520), np.array([5]), np.flatnonzero(q[:, 1] > 0)]
+    for m in parts:
+        want = square[np.ix_(m, m)].sum(axis=1)
+        assert centre.of(m, len(m) // 2) == np.flatnonzero(want <= want.min() * (1 + 1e-12))[0]
+    assert laue == "m-3m" or (centre.at >= 0).sum() < len(q)
